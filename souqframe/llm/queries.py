@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souqframe.functions.dates import instant
-from souqframe.llm import formatting_duplicates, groups_split, mixing, packing, percentiles, tokens
+from souqframe.llm import formatting_duplicates, groups_split, mixing, packing, percentiles, text_quality, tokens
 from souqframe.llm.signatures import configuration
 from souqframe.session import Workspace, read_table
 
@@ -132,6 +132,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return full.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), (F.coalesce("drawn_tokens", F.lit(0)) / F.col("total")).alias("share"), zero("documents"), zero("tokens"), zero("drawn_tokens"), "max_repeats", zero("most_repeats"))
 
 
+def p9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    words = [r.word for r in read_table(spark, sf, "common_words").select("word").distinct().orderBy("word").collect()]
+    return text_quality.text_quality(read_table(spark, sf, "documents"), words)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_quality(spark, sf).where("NOT is_prose").select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
@@ -145,6 +154,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill_report": p7_fill_report,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_quality": p9_quality,
 }
 
 ORACLE: dict[str, str] = {}
