@@ -10,11 +10,10 @@ def running_sum(df: DataFrame, by: list[str], order: str, weight: str, out: str,
     """Add ``out``: the weight of all rows of the same ``by`` group up to and with this row.
 
     ``order`` names a uniformly spread BIGINT (a hash), ``tie`` further columns that make the order
-    total, so that a recomputed task gives the same sums. The order's range is cut into ``bins`` equal slices; slice totals (at most ``bins`` rows a
+    total, so that a recomputed task gives the same sums. The order's range is cut into ``bins`` (a power of two) equal slices; slice totals (at most ``bins`` rows a
     group) are summed first and windows then stay within one slice, so no task holds a group.
     """
-    width = (1 << 64) // bins
-    binned = df.withColumn("_bin", F.floor((F.col(order).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(width)).cast("int"))
+    binned = df.withColumn("_bin", F.shiftright(F.col(order), 65 - bins.bit_length()))
     totals = binned.groupBy(*by, "_bin").agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bin").alias("_b__bin"), F.coalesce(F.sum("_w").over(w), F.lit(0)).alias("_before"))
