@@ -16,8 +16,10 @@ structs compare by their JSON text.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,29 +33,64 @@ BROADCAST_ENTRIES = 100_000
 BROADCAST_BYTES = 8 << 20
 
 
+#: Batches a partition gathers before it passes its distinct values on.
+GATHER = 64
+
+
+def distinct_values(columns: DataFrame) -> DataFrame:
+    """``field INT, value STRING``: the distinct non-NULL values of text columns named ``c<field>``.
+
+    Arrow finds the distinct values of each run of batches, column by column, in one pass over the rows.
+    """
+    fields = [int(c[1:]) for c in columns.columns]
+
+    def flush(held: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        for f, parts in zip(fields, held, strict=True):
+            values = pc.drop_null(pc.unique(pa.concat_arrays(parts)))
+            if len(values):
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(values), pa.int32()), values.cast(pa.string())], ["field", "value"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = [[] for _ in fields]
+        n = 0
+        for b in batches:
+            for k, col in enumerate(b.columns):
+                held[k].append(pc.unique(col))
+            n += 1
+            if n == GATHER:
+                yield from flush(held)
+                held, n = [[] for _ in fields], 0
+        if n:
+            yield from flush(held)
+
+    return columns.mapInArrow(gather, "field int, value string").groupBy("field", "value").agg(F.lit(1).alias("one")).select("field", "value")
+
+
 def text_dictionary(values: DataFrame, ws: Workspace) -> DataFrame:
     """``field INT, value STRING`` (distinct) -> ``field, value, id BIGINT``, staged.
 
-    Classes are the connected sets of "same word key" and "same glued text". Almost every set is
-    found in one pass; further passes run only while a label still falls.
+    A class is named by its smallest word key and its integer is the hash of that name, so dictionaries
+    of separate days agree. Only glued texts with more than one word key tie keys together; these few
+    are closed over by passing the smallest label along until none falls any more.
     """
     keyed = ws.stage(values.select("field", "value", word_key(F.col("value")).alias("t"), glued(F.col("value")).alias("g")), "keys")
-    label = keyed.select("field", "t", "g").distinct().withColumn("label", F.col("t"))
-    previous = None
+    tied = keyed.groupBy("field", "g").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "g")
+    label = ws.stage(keyed.join(tied, ["field", "g"], "left_semi").select("field", "g", "t").distinct().withColumn("label", F.col("t")), "tied")
     while True:
         by_g = label.groupBy("field", "g").agg(F.min("label").alias("via"))
         lowered = label.join(by_g, ["field", "g"])
         by_t = lowered.groupBy("field", "t").agg(F.min("via").alias("low"))
-        step = ws.stage(lowered.join(by_t, ["field", "t"]).select("field", "t", "g", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("fell")), "classes")
-        ws.drop(previous)
-        fell = step.where("fell").limit(1).count()
-        previous, label = step, step.select("field", "t", "g", "label")
-        if not fell:
+        step = ws.stage(lowered.join(by_t, ["field", "t"]).select("field", "g", "t", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("fell")), "classes")
+        ws.drop(label)
+        label = step
+        if not step.where("fell").limit(1).count():
             break
-    ids = ws.stage(label.groupBy("field", "label").agg(F.lit(1).alias("one")).select("field", "label", (F.monotonically_increasing_id() + 1).alias("id")), "ids")
-    t_ids = label.select("field", "t", "label").distinct().join(ids, ["field", "label"]).select("field", "t", "id")
-    out = ws.stage(keyed.join(t_ids, ["field", "t"]).select("field", "value", "id"), "dictionary")
-    ws.drop(keyed, previous, ids)
+    names = ws.stage(label.where("label < t").select("field", "t", "label").distinct(), "names")
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t") + F.octet_length("label") + 16), F.lit(0)).alias("b")).first()
+    if size.n <= BROADCAST_ENTRIES and size.b <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    out = ws.stage(keyed.join(names, ["field", "t"], "left").select("field", "value", F.xxhash64("field", F.coalesce("label", "t")).alias("id")), "dictionary")
+    ws.drop(keyed, label)
     return out
 
 
@@ -80,7 +117,7 @@ def encode(df: DataFrame, id_column: str, exclude: tuple[str, ...] = (), instant
         plain = plain.withColumn(f"c{i}", F.when(F.col(f"t{i}").isNull(), F.col(f"c{i}")))
     tuple_ids = {i: _value_id(F.col(f"c{i}"), f.dataType) for i, f in enumerate(fields) if i not in texts}
     if texts:
-        distinct = reduce(DataFrame.unionByName, [plain.where(F.col(f"c{i}").isNotNull()).select(F.lit(i).alias("field"), F.col(f"c{i}").alias("value")).distinct() for i in texts])
+        distinct = distinct_values(plain.select(*[f"c{i}" for i in texts]))
         words = text_dictionary(distinct, ws)
         sizes = {r.field: r for r in words.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("b")).collect()}
         order = sorted(texts, key=lambda i: sizes[i].n if i in sizes else 0)

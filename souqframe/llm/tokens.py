@@ -47,5 +47,5 @@ def with_token_counts(df: DataFrame, text: str = "text", keep: list[str] | None
             yield b.drop(columns="_text").assign(n_tokens=sizes)
 
     src = df.select(*keep, F.col(text).alias("_text"))
-    schema = src.drop("_text").schema.add("n_tokens", "bigint")
+    schema = src.drop("_text").schema.add("n_tokens", "long")
     return src.mapInPandas(count, schema)
