@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souqframe.functions.dates import instant
-from souqframe.llm import formatting_duplicates, groups_split, mixing, packing, percentiles, text_quality, tokens
+from souqframe.llm import canonical_list, formatting_duplicates, groups_split, mixing, packing, percentiles, text_quality, tokens
 from souqframe.llm.signatures import configuration
 from souqframe.session import Workspace, read_table
 
@@ -48,6 +48,23 @@ def p1_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("split", "listings", "configurations", want.alias("target_share"), (F.col("listings") / F.col("total")).alias("share"))
 
 
+def _mapped_parts(spark: SparkSession, sf: str) -> DataFrame:
+    cpus = [r.name for r in read_table(spark, sf, "cpus").where("name IS NOT NULL").select("name").orderBy("name").collect()]
+    gpus = [r.gpu_name for r in read_table(spark, sf, "gpus").where("gpu_name IS NOT NULL").select("gpu_name").orderBy("gpu_name").collect()]
+    a = canonical_list.map_values(read_table(spark, sf, "cpu_corrections"), cpus, canonical_list.CPU, "normalized_query", "canonical_cpu_name")
+    b = canonical_list.map_values(read_table(spark, sf, "gpu_queries"), gpus, canonical_list.GPU, "gpu_text")
+    return a.select("query_id", F.lit("cpus").alias("list"), F.col("normalized_query").alias("typed"), "canonical_name").unionByName(b.select("query_id", F.lit("gpus").alias("list"), F.col("gpu_text").alias("typed"), "canonical_name"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped_parts(spark, sf).select("query_id", "canonical_name").distinct()
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that mean no single entry, with how often each was typed."""
+    return _mapped_parts(spark, sf).where(F.col("canonical_name") == canonical_list.UNMATCHED).groupBy("list", "typed").agg(F.count("*").alias("n"))
+
+
 def _price_percentiles(spark: SparkSession, sf: str, relative_error: float | None, by_day: bool) -> DataFrame:
     ads = read_table(spark, sf, "listings").select("listing_id", "city_grouped", "brand", "price_corrected", F.to_date("scraped_at").alias("day"))
     kinds = F.explode(F.array(F.struct(F.lit("city_grouped").alias("dimension"), F.col("city_grouped").alias("grp")), F.struct(F.lit("brand").alias("dimension"), F.col("brand").alias("grp"))))
@@ -145,6 +162,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
     "p1_split_shares": p1_split_shares,
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
     "p4_percentiles": p4_percentiles,
     "p4_percentiles_of_days": p4_percentiles_of_days,
     "p4_percentiles_bounded": p4_percentiles_bounded,
