@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from souqframe.plans import data_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_queries.QUERIES}
 ORACLE: dict[str, str] = {}
