@@ -23,6 +23,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNMATCHED = "UNMATCHED"
 MAX_ENTRIES = 200_000
@@ -173,10 +174,10 @@ class Matcher:
             code = p["number"] + ("" if self.style.variants else p["variant"])
             letters |= set(code)
             lead = f"{p['variant']}:" if self.style.variants else ""
-            for path in {lead + code, lead + p["tier"] + code}:
-                self.codes.add(path, e)
-            for path in {p["number"], p["tier"] + p["number"]}:
-                self.numbers.add(path, e)
+            # a path's mark: 2 e if it says all it can, 2 e + 1 if it leaves the tier out
+            for tier, mark in ((p["tier"], 2 * e), ("", 2 * e + 1)):
+                self.codes.add(lead + tier + code, mark)
+                self.numbers.add(tier + p["number"], mark)
             for w in p["family"].split():
                 if w not in self.words:
                     self.vocabulary.add(w, len(self.words))
@@ -245,13 +246,13 @@ class Matcher:
             return 0 if n <= 1 else 1
         return 0 if n <= 3 else 1 if n <= 5 else 2
 
-    def candidates(self, text: str) -> dict[int, tuple[int, int]]:
-        """entry -> (distance, mismatches of family) for all entries within reach."""
+    def candidates(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """entry -> (family words that contradict it, distance, tier left out?) for all entries within reach."""
         families, variant, code = self.read(text)
         if not any(c.isdigit() for c in code):
             return {}
         lead = f"{variant}:" if self.style.variants else ""
-        found: dict[int, int] = {}
+        found: dict[int, tuple[int, int]] = {}
         digits = "".join(self.lookalike.get(c, c) for c in code)
         trie = self.codes
         if not self.style.variants:
@@ -262,12 +263,12 @@ class Matcher:
                 trie = self.numbers
         k = self.reach(code)
         for c in {code, digits}:
-            for e, d in trie.within(lead + c, k).items():
-                p = self.parts[e]
-                if self.style.variants and p["variant"] != variant:
+            for mark, d in trie.within(lead + c, k).items():
+                e = mark // 2
+                if self.style.variants and self.parts[e]["variant"] != variant:
                     continue
-                found[e] = min(d, found.get(e, k + 1))
-        return {e: (d, len(families - set(self.parts[e]["family"].split()))) for e, d in found.items()}
+                found[e] = min((d, mark % 2), found.get(e, (k + 1, 0)))
+        return {e: (len(families - set(self.parts[e]["family"].split())), *d) for e, d in found.items()}
 
     def match(self, text: str | None) -> str:
         if not text:
@@ -275,7 +276,7 @@ class Matcher:
         exact = self.full.get(_glue(re.sub(r"\s*@.*$", "", text.lower())))
         if exact and len(exact) == 1:
             return self.names[exact[0]]
-        hits = {e: d for e, (d, wrong) in self.candidates(text).items() if not wrong}
+        hits = {e: d for e, d in self.candidates(text).items() if not d[0]}
         if not hits:
             return UNMATCHED
         best = min(hits.values())
@@ -311,7 +312,7 @@ def map_values(queries: DataFrame, reference: list[str], style: Style, text: str
             hand = b[entered] if entered else [None] * len(b)
             yield b.assign(canonical_name=[m.resolve(h) if isinstance(h, str) and h.strip() else m.match(t if isinstance(t, str) else None) for t, h in zip(b[text], hand, strict=True)])
 
-    schema = distinct.schema.add("canonical_name", "string")
+    schema = T.StructType([*distinct.schema.fields, T.StructField("canonical_name", T.StringType())])
     mapped = distinct.mapInPandas(search, schema)
     on = queries[text].eqNullSafe(F.col(f"m.{text}"))
     if entered:

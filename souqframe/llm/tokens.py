@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder of the vocabulary files; a parameter everywhere, never copied.
 TOKENIZER_DIR = os.environ.get("SOUQFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -47,5 +48,5 @@ def with_token_counts(df: DataFrame, text: str = "text", keep: list[str] | None
             yield b.drop(columns="_text").assign(n_tokens=sizes)
 
     src = df.select(*keep, F.col(text).alias("_text"))
-    schema = src.drop("_text").schema.add("n_tokens", "long")
+    schema = T.StructType([*src.drop("_text").schema.fields, T.StructField("n_tokens", T.LongType())])
     return src.mapInPandas(count, schema)
