@@ -170,7 +170,7 @@ def _pick(counts: DataFrame, by: list[str], numeric: bool, name: str) -> DataFra
         whole = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(0)))
         got = per.select(*by, "value", upto.alias("_u"), whole.alias("_w")).where("_u * 2 >= _w")
         return got.groupBy(*by).agg(F.min("value").alias(name))
-    return per.groupBy(*by).agg(F.max_by("value", F.struct("n", F.lit(0))).alias("_x"), F.max("n").alias("_n")).join(per.withColumnRenamed("n", "_n"), [*by, "_n"]).groupBy(*by).agg(F.min("value").alias(name))
+    return per.groupBy(*by).agg(F.max("n").alias("_n")).join(per.withColumnRenamed("n", "_n"), [*by, "_n"]).groupBy(*by).agg(F.min("value").alias(name))
 
 
 def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]], group: Column, parent: Column, numbers: dict[str, Column], cats: dict[str, Column], k: int = 12, passes: int = 5, gamma: float = 0.6, seed: int = 17) -> DataFrame:

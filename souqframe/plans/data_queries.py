@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souqframe.functions.capacity import dinar_unit, joke_price, quantities
 from souqframe.functions.dates import instant
 from souqframe.functions.listing import finite, memory_type, number, real_screen
 from souqframe.operators import impute
 from souqframe.operators.text_classes import small, text_classes
+from souqframe.operators.units import Units, segment
 from souqframe.session import Workspace, read_table
 
 
@@ -47,4 +49,124 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _filled(spark, sf).where(F.col("method").isin("group_cluster", "group")).select("listing_id", "field_name").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_filled": p2_filled}
+#: Fixed ranges of the data: gigabytes of memory and of drives, dinars.
+MEMORY_RANGE, DRIVE_RANGE, PRICE_RANGE = (2.0, 128.0), (100.0, 4096.0), (10_000.0, 1_000_000.0)
+#: Dinars in a euro and a dirham (parameters of the conversion).
+EURO, DIRHAM = 241.0, 13.3
+CAPACITIES = {"RAM_SIZE": 0, "SSD_SIZE": 1, "HDD_SIZE": 2}
+PRICE = 3
+_BINARY = (("gb", "mb", "kb", "tb"), (1.0, 1 / 1024, 1 / 1024**2, 1000.0))
+_MONEY = (("dinar", "centime", "thousand", "million", "euro", "dirham"), (1.0, 0.01, 1e3, 1e4, EURO, DIRHAM))
+KINDS = {
+    0: Units(*_BINARY, *MEMORY_RANGE, centre=0.95, spread=0.3, priors=(0.9, 0.08, 0.01, 0.01), wide=DRIVE_RANGE),
+    1: Units(*_BINARY, *DRIVE_RANGE, centre=2.5, spread=0.3, priors=(0.9, 0.04, 0.01, 0.05), wide=MEMORY_RANGE),
+    2: Units(*_BINARY, *DRIVE_RANGE, centre=2.8, spread=0.3, priors=(0.9, 0.04, 0.01, 0.05)),
+    3: Units(*_MONEY, *PRICE_RANGE, centre=4.9, spread=0.35, priors=(0.9, 0.05, 0.025, 0.015, 0.005, 0.005)),
+}
+
+
+def _cells(spark: SparkSession, sf: str, ws: Workspace) -> DataFrame:
+    """``id, at, source, kind, raw, value, written, known, wide``: one row per cell that holds a quantity.
+
+    ``written`` is the unit the cell names; ``known`` is false where only the history can tell.
+    """
+    ads = read_table(spark, sf, "listings").select("listing_id", "scraped_at", "created_at", "city_grouped", *CAPACITIES, "price", "price_preview", "price_corrected")
+    # capacities repeat a few hundred spellings: each is read once
+    for name in CAPACITIES:
+        spelled = ads.select(name).where(F.col(name).isNotNull()).distinct().withColumn("q", quantities(F.col(name))).where(F.size("q") > 0)
+        spelled = ws.stage(spelled.select(
+            name,
+            F.array_distinct(F.transform("q", lambda x: x["unit"])).alias("units"),
+            F.element_at("q", 1)["n"].alias("n"),
+            F.size("q").alias("size"),
+        ), f"spelled-{name}")
+        read = F.struct("units", "n", "size").alias(f"{name}_q")
+        ads = ads.join(small(spelled.select(name, read), name), name, "left")
+    only = lambda c: F.when(F.col(f"{c}_q.size") == 1, F.element_at(F.col(f"{c}_q.units"), 1))
+    in_gb = lambda c: F.when(only(c).isin("gb", ""), F.col(f"{c}_q.n"))
+    swapped = F.coalesce((in_gb("RAM_SIZE") >= 120) & (in_gb("RAM_SIZE") <= DRIVE_RANGE[1]) & in_gb("SSD_SIZE").between(*MEMORY_RANGE), F.lit(False))
+    cells = []
+    for name, kind in CAPACITIES.items():
+        units = F.col(f"{name}_q.units")
+        other = F.element_at(F.array_except(units, F.array(F.lit("gb"), F.lit(""))), 1)
+        written = F.when(F.size(F.array_except(units, F.array(F.lit("gb"), F.lit("")))) > 0, other).when(~F.array_contains(units, F.lit("")), "gb")
+        cells.append(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("raw"), F.col(f"{name}_q.n").alias("value"), written.alias("written"), (swapped if kind < 2 else F.lit(False)).alias("wide")))
+    p, before = finite(F.col("price_corrected")), finite(F.col("price_preview"))
+    unit = dinar_unit(F.col("price"))
+    turned = F.coalesce(F.abs(p / F.nullif(before, F.lit(0.0)) - 1) > 0.005, F.lit(False))
+    foreign = unit.isNotNull() & (unit != "dinar")
+    factor = F.coalesce(*[F.when(unit == n, F.lit(f)) for n, f in zip(*_MONEY, strict=True)])
+    possible = (p * factor).between(0.95 * PRICE_RANGE[0], 1.05 * PRICE_RANGE[1])
+    inside = p.between(*PRICE_RANGE)
+    money = F.when(foreign & ~turned & possible, unit).when(foreign & turned & inside, "dinar").when((unit == "dinar") & inside, "dinar")
+    keep = money.isNotNull() | ~joke_price(p)
+    cells.append(F.struct(F.lit(PRICE).alias("kind"), F.col("price").alias("raw"), F.when(keep & (p > 0), p).alias("value"), money.alias("written"), F.lit(False).alias("wide")))
+    at = F.unix_seconds(F.coalesce(instant(F.col("created_at")), F.col("scraped_at")))
+    long = ads.select(F.col("listing_id").alias("id"), F.coalesce(at, F.lit(0)).alias("at"), F.coalesce("city_grouped", F.lit("?")).alias("source"), F.explode(F.array(*cells)).alias("c"))
+    return ws.stage(long.select("id", "at", "source", "c.*").where("value IS NOT NULL"), "cells")
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, kind, raw, value, unit`` for every cell that holds a quantity."""
+    ws = Workspace(spark)
+    cells = _cells(spark, sf, ws)
+    bare = cells.where("written IS NULL").select(F.concat("kind", F.lit(":"), "source").alias("series"), "kind", "at", "id", "value", "wide").distinct()
+    told = segment(bare, KINDS)
+    named = F.coalesce(*[F.when(F.col("kind") == k, F.element_at(F.array(*[F.lit(n) for n in u.names]), F.col("unit") + 1)) for k, u in KINDS.items()])
+    told = told.select("id", "kind", "value", named.alias("told")).distinct()
+    written = cells.where("written IS NOT NULL").select("id", "kind", "raw", "value", F.col("written").alias("unit"), F.lit("written").alias("method"))
+    found = cells.where("written IS NULL").select("id", "kind", "raw", "value").join(told, ["id", "kind", "value"]).select("id", "kind", "raw", "value", F.col("told").alias("unit"), F.lit("history").alias("method"))
+    return written.unionByName(found)
+
+
+def _field_name() -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for n, k in {**CAPACITIES, "price_corrected": PRICE}.items()]).alias("field_name")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells recorded in another unit than gigabytes or dinars."""
+    return _units(spark, sf).where(~F.col("unit").isin("gb", "dinar")).select(F.col("id").alias("listing_id"), _field_name()).distinct()
+
+
+def p5_common(spark: SparkSession, sf: str) -> DataFrame:
+    """Every quantity in gigabytes or dinars, with the unit it was recorded in and how that is known.
+
+    Several drives add up; of a choice ("256GB/512GB") the first counts.
+    """
+    u = _units(spark, sf)
+    factor = F.coalesce(*[F.when(F.col("unit") == n, F.lit(f)) for names, fs in (_BINARY, _MONEY) for n, f in zip(names, fs, strict=True)])
+    gb = lambda q: q["n"] * F.when(q["unit"] == "tb", 1000.0).when(q["unit"] == "mb", 1 / 1024).when(q["unit"] == "kb", 1 / 1024**2).otherwise(1.0)
+    q = quantities(F.col("raw"))
+    added = F.aggregate(q, F.lit(0.0), lambda a, x: a + gb(x))
+    several = F.when(F.col("raw").contains("/"), gb(F.element_at(q, 1))).otherwise(added)
+    value = F.when((F.col("kind") != PRICE) & (F.col("method") == "written"), several).otherwise(F.col("value") * factor)
+    return u.select(F.col("id").alias("listing_id"), _field_name(), "raw", "unit", "method", value.alias("common_value")).distinct()
+
+
+_CAPACITY_SQL = """SELECT DISTINCT listing_id, '{col}' AS field_name FROM l
+WHERE regexp_matches(lower({col}), '[0-9] ?(tb|to|tera|تيرا|mb|mo|mégas|megas|kb|ko)')
+ OR (regexp_full_match(trim({col}), '[0-9]+') AND try_cast(trim({col}) AS DOUBLE) > 0
+  AND NOT try_cast(trim({col}) AS DOUBLE) BETWEEN {low} AND {high} AND NOT (swapped AND try_cast(trim({col}) AS DOUBLE) BETWEEN {wide_low} AND {wide_high}))"""
+
+ORACLE = {
+    "p2_found": r"""WITH l AS (SELECT listing_id, array_to_string(list_sort(string_split(regexp_replace(lower(model_name), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '')), '') AS m,
+ CASE WHEN SCREEN_SIZE_SNAPPED BETWEEN 10 AND 20 THEN 1 ELSE 0 END AS s,
+ CASE WHEN regexp_matches(upper(regexp_replace(RAM_TYPE, '[^A-Za-z0-9]+', '', 'g')), '^(LP|G)?DDR[0-9]') THEN 1 ELSE 0 END AS r FROM listings WHERE model_name IS NOT NULL),
+h AS (SELECT m, max(s) AS hs, max(r) AS hr FROM l GROUP BY m)
+SELECT DISTINCT listing_id, 'SCREEN_SIZE_SNAPPED' AS field_name FROM l JOIN h USING (m) WHERE s = 0 AND hs = 1 AND m <> ''
+UNION ALL SELECT DISTINCT listing_id, 'RAM_TYPE' AS field_name FROM l JOIN h USING (m) WHERE r = 0 AND hr = 1 AND m <> ''""",
+    "p5_found": r"""WITH g AS (SELECT *, try_cast(replace(regexp_extract(lower(RAM_SIZE), '^(?:ram )?([0-9]+(?:,[0-9])?) ?(g|gb|go|gigas|جيغا)?$', 1), ',', '.') AS DOUBLE) AS rg,
+ try_cast(replace(regexp_extract(lower(SSD_SIZE), '^(?:ssd )?([0-9]+(?:,[0-9])?) ?(g|gb|go|gigas|giga|جيغا)?$', 1), ',', '.') AS DOUBLE) AS sg FROM listings),
+l AS (SELECT *, coalesce(rg BETWEEN 120 AND 4096 AND sg BETWEEN 2 AND 128, false) AS swapped FROM g)
+"""
+    + " UNION ALL ".join(
+        _CAPACITY_SQL.format(col=c, low=low, high=high, wide_low=a, wide_high=b)
+        for c, low, high, a, b in (("RAM_SIZE", 2, 128, 100, 4096), ("SSD_SIZE", 100, 4096, 2, 128), ("HDD_SIZE", 100, 4096, 0, 0))
+    )
+    + """ UNION ALL SELECT DISTINCT listing_id, 'price_corrected' FROM l WHERE price_corrected IS NOT NULL AND NOT isnan(price_corrected) AND
+ CASE WHEN regexp_matches(lower(price), 'centime|cts|سنتيم|million|مليون|[0-9]m$|mille|الف|k$|€|eur|mad|dirham|dh') THEN abs(price_corrected / price_preview - 1) < 0.005
+ ELSE NOT price_corrected BETWEEN 10000 AND 1000000 AND price_corrected <> 1 AND NOT (price_corrected = floor(price_corrected) AND price_corrected >= 100
+  AND (replace(CAST(CAST(price_corrected AS BIGINT) AS VARCHAR), CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)[1], '') = '' OR starts_with('123456789', CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)))) END""",
+}
+
+QUERIES = {"p2_found": p2_found, "p2_filled": p2_filled, "p5_found": p5_found, "p5_common": p5_common}

@@ -9,4 +9,4 @@ from pyspark.sql import DataFrame, SparkSession
 from souqframe.plans import data_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_queries.QUERIES}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**data_queries.ORACLE}
