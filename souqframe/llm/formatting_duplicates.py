@@ -25,14 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souqframe.functions.dates import instant
-from souqframe.functions.text import glued, word_key
+from souqframe.operators.text_classes import BROADCAST_BYTES, BROADCAST_ENTRIES, text_classes
 from souqframe.session import Workspace
 
-#: A dictionary is broadcast only if it has at most so many entries and bytes; larger ones are joined by shuffle.
-BROADCAST_ENTRIES = 100_000
-BROADCAST_BYTES = 8 << 20
-
-
 #: Batches a partition gathers before it passes its distinct values on.
 GATHER = 64
 
@@ -69,29 +64,10 @@ def distinct_values(columns: DataFrame) -> DataFrame:
 def text_dictionary(values: DataFrame, ws: Workspace) -> DataFrame:
     """``field INT, value STRING`` (distinct) -> ``field, value, id BIGINT``, staged.
 
-    A class is named by its smallest word key and its integer is the hash of that name, so dictionaries
-    of separate days agree. Only glued texts with more than one word key tie keys together; these few
-    are closed over by passing the smallest label along until none falls any more.
+    A class's integer is the hash of its field and name, so dictionaries of separate days agree.
     """
-    keyed = ws.stage(values.select("field", "value", word_key(F.col("value")).alias("t"), glued(F.col("value")).alias("g")), "keys")
-    tied = keyed.groupBy("field", "g").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "g")
-    label = ws.stage(keyed.join(tied, ["field", "g"], "left_semi").select("field", "g", "t").distinct().withColumn("label", F.col("t")), "tied")
-    while True:
-        by_g = label.groupBy("field", "g").agg(F.min("label").alias("via"))
-        lowered = label.join(by_g, ["field", "g"])
-        by_t = lowered.groupBy("field", "t").agg(F.min("via").alias("low"))
-        step = ws.stage(lowered.join(by_t, ["field", "t"]).select("field", "g", "t", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("fell")), "classes")
-        ws.drop(label)
-        label = step
-        if not step.where("fell").limit(1).count():
-            break
-    names = ws.stage(label.where("label < t").select("field", "t", "label").distinct(), "names")
-    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t") + F.octet_length("label") + 16), F.lit(0)).alias("b")).first()
-    if size.n <= BROADCAST_ENTRIES and size.b <= BROADCAST_BYTES:
-        names = F.broadcast(names)
-    out = ws.stage(keyed.join(names, ["field", "t"], "left").select("field", "value", F.xxhash64("field", F.coalesce("label", "t")).alias("id")), "dictionary")
-    ws.drop(keyed, label)
-    return out
+    named = text_classes(values, ws)
+    return ws.stage(named.select("field", "value", F.xxhash64("field", "label").alias("id")), "dictionary")
 
 
 def _value_id(c: Column, kind: T.DataType) -> Column:

@@ -177,4 +177,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_quality": p9_quality,
 }
 
-ORACLE: dict[str, str] = {}
+_CONFIGURATION = r"""array_to_string(list_transform(string_split(spec_signature, '|'), x -> CASE WHEN try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) IS NULL OR isnan(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE)) THEN '?' ELSE CAST(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) AS VARCHAR) END), '|')"""
+_INSTANT = r"""try_strptime(regexp_replace(upper(trim(created_at)), '(\+00:00|\.000Z|Z)$', ''), ['%Y %m %dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%H:%M:%S %Y.%m.%d', '%d/%m/%Y %H:%M:%S', '%Y%m%dT%H%M%S'])"""
+_PERCENTILES = """WITH l AS (SELECT 'city_grouped' AS dimension, city_grouped AS grp, price_corrected AS v FROM listings
+ UNION ALL SELECT 'brand', brand, price_corrected FROM listings),
+r AS (SELECT dimension, grp, v, row_number() OVER (PARTITION BY dimension, grp ORDER BY v) AS k, count(*) OVER (PARTITION BY dimension, grp) AS n FROM l WHERE v IS NOT NULL AND NOT isnan(v)),
+q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS quantile)
+SELECT dimension, grp, quantile, v AS value, k AS rank, n AS n_values FROM r JOIN q ON k = greatest(CAST(ceil(quantile * n) AS BIGINT), 1)"""
+_TEXTS = ["city", "city_grouped", "spec_Etat", "brand", "model_name", "CPU", "DEDICATED_GPU", "RAM_SIZE", "RAM_TYPE", "SSD_SIZE", "HDD_SIZE", "SCREEN_RESOLUTION_STD", "mapped_cpu_name", "cpu_mark", "gpu_name", "gpu_g3d_mark", "gpu_g2d_mark", "price", "spec_signature"]
+_NUMBERS = ["SCREEN_SIZE_SNAPPED", "SCREEN_RESOLUTION_ENC", "cores", "tdp", "gpu_tdp", "price_preview", "price_corrected"]
+# copies in SQL: texts by their sorted letters and digits, which no two different values of these tables share
+_RECORD = ", ".join(
+    [rf"coalesce(array_to_string(list_sort(string_split(regexp_replace(lower(CAST({c} AS VARCHAR)), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'), '')), ''), '-null-')" for c in _TEXTS]
+    + [f"coalesce(CAST({c} AS VARCHAR), '-null-')" for c in _NUMBERS]
+    + [rf"coalesce(CAST({_INSTANT} AS VARCHAR), array_to_string(list_sort(string_split(regexp_replace(lower(created_at), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'), '')), ''), '-null-')"]
+)
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH l AS (SELECT listing_id, {_CONFIGURATION} AS c, {_INSTANT} AS posted FROM listings WHERE spec_signature IS NOT NULL)
+SELECT DISTINCT listing_id FROM l WHERE posted >= TIMESTAMP '2025-01-01' AND c IN (SELECT c FROM l WHERE posted < TIMESTAMP '2025-01-01')""",
+    "p4_percentiles": _PERCENTILES,
+    "p4_percentiles_of_days": _PERCENTILES,
+    "p6_found": f"""WITH r AS (SELECT DISTINCT listing_id, md5(concat_ws('|', {_RECORD})) AS k FROM listings),
+g AS (SELECT k, min(listing_id) AS first_id FROM r GROUP BY k HAVING count(*) > 1)
+SELECT first_id, listing_id AS copy_id FROM r JOIN g USING (k) WHERE listing_id > first_id""",
+    "p6_records": f"""WITH r AS (SELECT DISTINCT listing_id, md5(concat_ws('|', {_RECORD})) AS k FROM listings)
+SELECT min(listing_id) AS listing_id, count(*) AS n_copies FROM r GROUP BY k""",
+}
