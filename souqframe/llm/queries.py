@@ -177,7 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_quality": p9_quality,
 }
 
-_CONFIGURATION = r"""array_to_string(list_transform(string_split(spec_signature, '|'), x -> CASE WHEN try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) IS NULL OR isnan(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE)) THEN '?' ELSE CAST(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) AS VARCHAR) END), '|')"""
+_CONFIGURATION = r"""array_to_string(list_transform(string_split(spec_signature, '|'), lambda x: CASE WHEN try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) IS NULL OR isnan(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE)) THEN '?' ELSE CAST(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) AS VARCHAR) END), '|')"""
 _INSTANT = r"""try_strptime(regexp_replace(upper(trim(created_at)), '(\+00:00|\.000Z|Z)$', ''), ['%Y %m %dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%H:%M:%S %Y.%m.%d', '%d/%m/%Y %H:%M:%S', '%Y%m%dT%H%M%S'])"""
 _PERCENTILES = """WITH l AS (SELECT 'city_grouped' AS dimension, city_grouped AS grp, price_corrected AS v FROM listings
  UNION ALL SELECT 'brand', brand, price_corrected FROM listings),
