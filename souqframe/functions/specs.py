@@ -163,8 +163,8 @@ def model_number(c: Column) -> Column:
 
 
 def generation(number: Column, lowest: int = 1, highest: int = 14) -> Column:
-    """The thousands of a model number, clamped."""
-    return F.greatest(F.least(F.floor(number / 1000).cast("int"), F.lit(highest)), F.lit(lowest))
+    """The thousands of a model number, clamped; NULL for NULL."""
+    return F.when(number.isNotNull(), F.greatest(F.least(F.floor(number / 1000).cast("int"), F.lit(highest)), F.lit(lowest)))
 
 
 def condition_rank(c: Column) -> Column:
