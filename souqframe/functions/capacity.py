@@ -26,17 +26,23 @@ def quantities(c: Column) -> Column:
     return F.filter(F.zip_with(numbers, words, one), lambda q: q["n"] > 0)
 
 
+#: Words that name a unit of price, lower case without digits, blanks and punctuation (fixed values of the data).
+PRICE_WORDS = {
+    "dinar": ("da", "dzd", "دج", "dinar", "dinars", "دينار"),
+    "centime": ("cts", "ct", "centime", "centimes", "سنتيم"),
+    "thousand": ("mille", "k", "الف", "ألف"),
+    "million": ("million", "millions", "m", "مليون"),
+    "euro": ("€", "euro", "euros", "eur"),
+    "dirham": ("mad", "dh", "dhs", "dirham", "dirhams"),
+}
+
+
 def dinar_unit(price: Column) -> Column:
-    """The unit a price text names: dinar, centime, thousand, million (of centimes), euro, dirham; NULL if none."""
-    t = F.lower(price)
-    return (
-        F.when(t.rlike(r"centime|\bcts?\b|سنتيم"), "centime")
-        .when(t.rlike(r"million|مليون|\d ?m\b(?!ad)"), "million")
-        .when(t.rlike(r"\bmille\b|الف|ألف|\d ?k\b"), "thousand")
-        .when(t.rlike(r"€|\beuros?\b|\beur\b"), "euro")
-        .when(t.rlike(r"\bmad\b|dirham|\bdhs?\b"), "dirham")
-        .when(t.rlike(r"\bda\b|\bdzd\b|دج|dinar"), "dinar")
-    )
+    """The unit a price text names: dinar, centime, thousand, million (of centimes), euro, dirham; NULL if none.
+
+    What is left of the text without digits and blanks is looked up, so no pattern is matched."""
+    word = F.translate(F.lower(price), "0123456789.,'-  \t", "")
+    return F.coalesce(*[F.when(word.isin(*words), F.lit(u)) for u, words in PRICE_WORDS.items()])
 
 
 def joke_price(v: Column) -> Column:

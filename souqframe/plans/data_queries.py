@@ -74,33 +74,29 @@ def _cells(spark: SparkSession, sf: str, ws: Workspace) -> DataFrame:
     # capacities repeat a few hundred spellings: each is read once
     for name in CAPACITIES:
         spelled = ads.select(name).where(F.col(name).isNotNull()).distinct().withColumn("q", quantities(F.col(name))).where(F.size("q") > 0)
-        spelled = ws.stage(spelled.select(
-            name,
-            F.array_distinct(F.transform("q", lambda x: x["unit"])).alias("units"),
-            F.element_at("q", 1)["n"].alias("n"),
-            F.size("q").alias("size"),
-        ), f"spelled-{name}")
-        read = F.struct("units", "n", "size").alias(f"{name}_q")
-        ads = ads.join(small(spelled.select(name, read), name), name, "left")
-    only = lambda c: F.when(F.col(f"{c}_q.size") == 1, F.element_at(F.col(f"{c}_q.units"), 1))
-    in_gb = lambda c: F.when(only(c).isin("gb", ""), F.col(f"{c}_q.n"))
-    swapped = F.coalesce((in_gb("RAM_SIZE") >= 120) & (in_gb("RAM_SIZE") <= DRIVE_RANGE[1]) & in_gb("SSD_SIZE").between(*MEMORY_RANGE), F.lit(False))
+        spelled = spelled.select(name, "q", F.array_distinct(F.transform("q", lambda x: x["unit"])).alias("units"))
+        other = F.array_except("units", F.array(F.lit("gb"), F.lit("")))
+        written = F.when(F.size(other) > 0, F.element_at(other, 1)).when(~F.array_contains("units", F.lit("")), "gb")
+        n = F.element_at("q", 1)["n"]
+        gb = F.when((F.size("q") == 1) & F.coalesce(written, F.lit("gb")).isin("gb"), n)
+        read = F.struct(n.alias("n"), written.alias("written"), gb.alias("gb"))
+        spelled = ws.stage(spelled.select(name, read.alias(f"{name}_q")), f"spelled-{name}")
+        ads = ads.join(small(spelled, name), name, "left")
+    ads = ads.withColumn("swapped", F.coalesce(F.col("RAM_SIZE_q.gb").between(120, DRIVE_RANGE[1]) & F.col("SSD_SIZE_q.gb").between(*MEMORY_RANGE), F.lit(False)))
     cells = []
     for name, kind in CAPACITIES.items():
-        units = F.col(f"{name}_q.units")
-        other = F.element_at(F.array_except(units, F.array(F.lit("gb"), F.lit(""))), 1)
-        written = F.when(F.size(F.array_except(units, F.array(F.lit("gb"), F.lit("")))) > 0, other).when(~F.array_contains(units, F.lit("")), "gb")
-        cells.append(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("raw"), F.col(f"{name}_q.n").alias("value"), written.alias("written"), (swapped if kind < 2 else F.lit(False)).alias("wide")))
-    p, before = finite(F.col("price_corrected")), finite(F.col("price_preview"))
-    unit = dinar_unit(F.col("price"))
-    turned = F.coalesce(F.abs(p / F.nullif(before, F.lit(0.0)) - 1) > 0.005, F.lit(False))
+        wide = F.col("swapped") if kind < 2 else F.lit(False)
+        cells.append(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("raw"), F.col(f"{name}_q.n").alias("value"), F.col(f"{name}_q.written").alias("written"), wide.alias("wide")))
+    ads = ads.withColumns({"unit": dinar_unit(F.col("price")), "p": finite(F.col("price_corrected")), "before": finite(F.col("price_preview"))})
+    p, unit = F.col("p"), F.col("unit")
+    turned = F.coalesce(F.abs(p / F.nullif("before", F.lit(0.0)) - 1) > 0.005, F.lit(False))
     foreign = unit.isNotNull() & (unit != "dinar")
     factor = F.coalesce(*[F.when(unit == n, F.lit(f)) for n, f in zip(*_MONEY, strict=True)])
     possible = (p * factor).between(0.95 * PRICE_RANGE[0], 1.05 * PRICE_RANGE[1])
     inside = p.between(*PRICE_RANGE)
-    money = F.when(foreign & ~turned & possible, unit).when(foreign & turned & inside, "dinar").when((unit == "dinar") & inside, "dinar")
-    keep = money.isNotNull() | ~joke_price(p)
-    cells.append(F.struct(F.lit(PRICE).alias("kind"), F.col("price").alias("raw"), F.when(keep & (p > 0), p).alias("value"), money.alias("written"), F.lit(False).alias("wide")))
+    ads = ads.withColumn("money", F.when(foreign & ~turned & possible, unit).when(foreign & turned & inside, "dinar").when((unit == "dinar") & inside, "dinar"))
+    keep = F.col("money").isNotNull() | inside | ~joke_price(p)
+    cells.append(F.struct(F.lit(PRICE).alias("kind"), F.col("price").alias("raw"), F.when(keep & (p > 0), p).alias("value"), F.col("money").alias("written"), F.lit(False).alias("wide")))
     at = F.unix_seconds(F.coalesce(instant(F.col("created_at")), F.col("scraped_at")))
     long = ads.select(F.col("listing_id").alias("id"), F.coalesce(at, F.lit(0)).alias("at"), F.coalesce("city_grouped", F.lit("?")).alias("source"), F.explode(F.array(*cells)).alias("c"))
     return ws.stage(long.select("id", "at", "source", "c.*").where("value IS NOT NULL"), "cells")
