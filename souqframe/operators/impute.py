@@ -35,6 +35,9 @@ from pyspark.sql import types as T
 
 from souqframe.session import Workspace
 
+#: Rows looked at for each starting prototype.
+STARTS = 32
+
 STEPS = ("group_cluster", "group", "parent_cluster", "cluster", "all")
 
 
@@ -74,16 +77,24 @@ def _arrays(b: pd.DataFrame, numbers: list[str], cats: list[str]) -> tuple[np.nd
 
 
 def fit(rows: DataFrame, numbers: list[str], cats: list[str], widths: list[int], k: int, passes: int, gamma: float, seed: int) -> Prototypes:
-    """``cats`` hold codes 0..width-1, -1 for missing. Starts from k rows of seeded lowest hash, then
-    ``passes`` full passes; an emptied cluster keeps its prototype."""
+    """``cats`` hold codes 0..width-1, -1 for missing. ``passes`` full passes over all rows follow the start;
+    an emptied cluster keeps its prototype."""
     stats = rows.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(numbers))], dtype=float)
     scale = np.array([stats[f"s_{i}"] or 1.0 for i in range(len(numbers))], dtype=float)
-    start = rows.select(*numbers, *cats).distinct().orderBy(F.xxhash64(F.lit(seed), *numbers, *cats), *cats).limit(k).toPandas()
+    # k rows far from each other among STARTS * k of lowest seeded hash, the most complete first
+    gaps = sum((F.col(c).isNull().cast("int") for c in numbers), F.lit(0)) + sum(((F.col(c) < 0).cast("int") for c in cats), F.lit(0))
+    start = rows.select(*numbers, *cats).distinct().orderBy(gaps, F.xxhash64(F.lit(seed), *numbers, *cats), *cats).limit(STARTS * k).toPandas()
     if not len(start):
         return Prototypes(np.zeros((1, len(numbers))), np.full((1, len(cats)), -2), mean, scale, gamma)
     x, c = _arrays(start, numbers, cats)
-    protos = Prototypes(np.nan_to_num((x - mean) / scale), c, mean, scale, gamma)
+    z = np.nan_to_num((x - mean) / scale)
+    chosen, gap = [0], np.full(len(z), np.inf)
+    while len(chosen) < min(k, len(z)):
+        last = chosen[-1]
+        gap = np.minimum(gap, ((z - z[last]) ** 2).sum(1) + gamma * (c != c[last]).sum(1))
+        chosen.append(int(gap.argmax()))
+    protos = Prototypes(z[chosen], c[chosen], mean, scale, gamma)
     n, total = len(numbers), int(sum(widths))
     offset = np.r_[0, np.cumsum(widths)[:-1]].astype(int) if widths else np.zeros(0, int)
 

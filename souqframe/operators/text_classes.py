@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, permutations
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from souqframe.session import Workspace
 #: A table is broadcast only if it has at most so many rows and bytes; larger ones are joined by shuffle.
 BROADCAST_ENTRIES = 100_000
 BROADCAST_BYTES = 8 << 20
+#: Values of more words agree without their white space only in the order written.
+MAX_FREE_WORDS = 6
 
 
 def small(df: DataFrame, *texts: str) -> DataFrame:
@@ -19,25 +25,62 @@ def small(df: DataFrame, *texts: str) -> DataFrame:
     return F.broadcast(df) if size.n <= BROADCAST_ENTRIES and size.b <= BROADCAST_BYTES else df
 
 
+def _arrangements(t: str, written: list[str]) -> set[str]:
+    words = t.split(" ")
+    return {*written, *("".join(p) for p in permutations(words))} if len(words) <= MAX_FREE_WORDS else set(written)
+
+
+def classes_of(keys: list[tuple[str, str]]) -> dict[str, str]:
+    """``(word key, glued text)`` of values with the same letters -> the least word key of each key's class.
+
+    Two keys are one class if an arrangement of their words gives the same text without white space."""
+    written: dict[str, list[str]] = {}
+    for t, g in keys:
+        written.setdefault(t, []).append(g)
+    root = {t: t for t in written}
+
+    def find(t: str) -> str:
+        while root[t] != t:
+            root[t] = root[root[t]]
+            t = root[t]
+        return t
+
+    seen: dict[str, str] = {}
+    for t in sorted(written):
+        for a in _arrangements(t, written[t]):
+            x, y = find(seen.setdefault(a, t)), find(t)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    return {t: find(t) for t in written}
+
+
+def _name_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by ``field, letters``; a set of equal letters may go on in the next batch."""
+    rows = ((f, b, t, g) for d in batches for f, b, t, g in zip(d["field"], d["letters"], d["t"], d["g"], strict=True))
+    out: list[tuple[int, str, str]] = []
+    for (field, _), members in groupby(rows, key=lambda r: (r[0], r[1])):
+        out += [(field, t, label) for t, label in classes_of([(t, g) for _, _, t, g in members]).items() if label < t]
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["field", "t", "label"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["field", "t", "label"])
+
+
 def text_classes(values: DataFrame, ws: Workspace) -> DataFrame:
     """``field INT, value STRING`` (distinct) -> ``field, value, label``; equal labels are one class.
 
-    A class is named by its smallest word key, so classes of separate inputs agree. Only glued texts with more
-    than one word key tie keys together ("AB 1" and "A B1"); these few are closed over by passing the
-    smallest label along until none falls any more. A NULL value has no class.
+    A class is named by its smallest word key, so classes of separate inputs agree. Keys of one class have the same
+    letters and digits, so only values that share those, under different keys ("AB 1" and "A B1", or anagrams),
+    meet in one place to be told apart. A NULL value has no class.
     """
-    keyed = ws.stage(values.where("value IS NOT NULL").select("field", "value", word_key(F.col("value")).alias("t"), glued(F.col("value")).alias("g")), "keys")
-    tied = keyed.groupBy("field", "g").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "g")
-    label = ws.stage(keyed.join(tied, ["field", "g"], "left_semi").select("field", "g", "t").distinct().withColumn("label", F.col("t")), "tied")
-    while True:
-        by_g = label.groupBy("field", "g").agg(F.min("label").alias("via"))
-        lowered = label.join(by_g, ["field", "g"])
-        by_t = lowered.groupBy("field", "t").agg(F.min("via").alias("low"))
-        step = ws.stage(lowered.join(by_t, ["field", "t"]).select("field", "g", "t", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("fell")), "classes")
-        ws.drop(label)
-        label = step
-        if not step.where("fell").limit(1).count():
-            break
-    names = ws.stage(label.where("label < t").select("field", "t", "label").distinct(), "names")
-    ws.drop(label)
+    t, g = word_key(F.col("value")), glued(F.col("value"))
+    keyed = ws.stage(values.where("value IS NOT NULL").select("field", "value", t.alias("t"), g.alias("g")), "keys")
+    free = F.size(F.split("t", " ")) <= MAX_FREE_WORDS
+    letters = F.when(free, F.array_join(F.array_sort(F.split("g", "")), "")).otherwise(F.col("g"))
+    spread = ws.stage(keyed.select("field", "t", "g", letters.alias("letters")).distinct(), "letters")
+    tied = spread.groupBy("field", "letters").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "letters")
+    together = spread.join(tied, ["field", "letters"], "left_semi").repartition("field", "letters").sortWithinPartitions("field", "letters")
+    names = ws.stage(together.mapInPandas(_name_classes, "field int, t string, label string"), "names")
+    ws.drop(spread)
     return keyed.join(small(names, "t", "label"), ["field", "t"], "left").select("field", "value", F.coalesce("label", "t").alias("label"))
