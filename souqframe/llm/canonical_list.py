@@ -317,4 +317,5 @@ def map_values(queries: DataFrame, reference: list[str], style: Style, text: str
     on = queries[text].eqNullSafe(F.col(f"m.{text}"))
     if entered:
         on = on & queries[entered].eqNullSafe(F.col(f"m.{entered}"))
-    return queries.join(mapped.alias("m"), on, "left").select(*[queries[c] for c in queries.columns], F.col("m.canonical_name"))
+    kept = [queries[c] for c in queries.columns if c != "canonical_name"]  # such a column is replaced
+    return queries.join(mapped.alias("m"), on, "left").select(*kept, F.col("m.canonical_name"))

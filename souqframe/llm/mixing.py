@@ -71,7 +71,7 @@ def mix(sizes: DataFrame, levels: list[str], weights: dict[tuple[str, ...], floa
     """``sizes``: id, the levels, ``n_tokens``. ``weights`` by path from the root (all or some nodes of a
     level; the first level's missing ones get 0). -> (id, levels, n_tokens, repeats) and the leaves' budgets."""
     ws = Workspace(sizes.sparkSession)
-    base = sizes.where("n_tokens > 0")
+    base = sizes.select(id_column, *levels, "n_tokens").where("n_tokens > 0")
     for c in levels:
         base = base.where(F.col(c).isNotNull())
     leaves = base.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
