@@ -92,29 +92,48 @@ def encode(df: DataFrame, id_column: str, exclude: tuple[str, ...] = (), instant
         plain = plain.withColumn(f"t{i}", F.unix_micros(instant(F.col(f"c{i}"))))
         plain = plain.withColumn(f"c{i}", F.when(F.col(f"t{i}").isNull(), F.col(f"c{i}")))
     tuple_ids = {i: _value_id(F.col(f"c{i}"), f.dataType) for i, f in enumerate(fields) if i not in texts}
-    if texts:
-        distinct = distinct_values(plain.select(*[f"c{i}" for i in texts]))
-        words = text_dictionary(distinct, ws)
-        sizes = {r.field: r for r in words.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("b")).collect()}
-        order = sorted(texts, key=lambda i: sizes[i].n if i in sizes else 0)
-        for i in order:
-            if i not in sizes:
-                plain = plain.withColumn(f"i{i}", F.lit(None).cast("bigint"))
-                continue
+    if not texts:
+        return ws.stage(plain.select("record_id", *_fold(tuple_ids)), "tuples")
+    words = text_dictionary(distinct_values(plain.select(*[f"c{i}" for i in texts])), ws)
+    sizes = {r.field: r for r in words.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("b")).collect()}
+    large = []
+    for i in texts:
+        id_of = F.col(f"i{i}")
+        if i in sizes:
             d = words.where(F.col("field") == i).select(F.col("value").alias(f"c{i}"), F.col("id").alias(f"i{i}"))
-            if sizes[i].n <= BROADCAST_ENTRIES and sizes[i].b <= BROADCAST_BYTES:
-                d = F.broadcast(d)
-            plain = plain.join(d, f"c{i}", "left").drop(f"c{i}")
-        for i in texts:
-            own = F.coalesce(F.col(f"i{i}"), F.lit(-1).cast("bigint"))
-            # instants and dictionary integers live in different ranges: the pair keeps them apart
-            tuple_ids[i] = F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit("instant"), F.col(f"t{i}"))).otherwise(own) if i in times else own
-    ordered = [tuple_ids[i] for i in range(len(fields))]
-    digest = [F.xxhash64(F.lit(seed), *ordered) for seed in (1, 2)]
-    out = plain.select("record_id", digest[0].alias("d1"), digest[1].alias("d2"))
+            if sizes[i].n > BROADCAST_ENTRIES or sizes[i].b > BROADCAST_BYTES:
+                large.append((i, d))
+                continue
+            plain = plain.join(F.broadcast(d), f"c{i}", "left")
+        else:
+            id_of = F.lit(None).cast("bigint")
+        own = F.coalesce(id_of, F.lit(-1).cast("bigint"))
+        # instants and dictionary integers live in different ranges: the pair keeps them apart
+        tuple_ids[i] = F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit("instant"), F.col(f"t{i}"))).otherwise(own) if i in times else own
+    # what is known is folded first, so a join with a large dictionary moves an id, two integers and the value
+    kept = [c for i, _ in large for c in ([f"c{i}", f"t{i}"] if i in times else [f"c{i}"])]
+    out = plain.select("record_id", *_fold(tuple_ids), *kept)
+    for i, d in large:
+        own = F.coalesce(F.col(f"i{i}"), F.lit(-1).cast("bigint"))
+        if i in times:
+            own = F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit("instant"), F.col(f"t{i}"))).otherwise(own)
+        more = _fold({i: own})
+        rest = [c for c in out.columns if c not in ("record_id", "d1", "d2", f"c{i}", f"t{i}")]
+        out = out.join(d, f"c{i}", "left").select("record_id", *[F.col(n).bitwiseXOR(m).alias(n) for n, m in zip(("d1", "d2"), more, strict=True)], *rest)
     return ws.stage(out, "tuples")
 
 
+def _fold(ids: dict[int, Column]) -> list[Column]:
+    """``d1, d2``: the 128-bit digest of (field, integer) pairs, the same in whatever order they come."""
+    out = []
+    for seed, name in ((1, "d1"), (2, "d2")):
+        fold = F.lit(0).cast("bigint")
+        for i in sorted(ids):
+            fold = fold.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(i), ids[i]))
+        out.append(fold.alias(name))
+    return out
+
+
 def collapse(tuples: DataFrame) -> DataFrame:
     """One row per distinct record: ``first_id`` and ``n_copies`` (different ids), ``d1, d2``.
 
