@@ -117,7 +117,7 @@ def star_join_revenue(spark, sf):
     orders = t("orders").select("o_orderkey", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name")
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("n_name", "p_type").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"))
+    return j.groupBy("n_name", "p_type").agg(F.round(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,6)")), 2).cast("double").alias("revenue"), F.count("*").alias("lines"))
 
 
 QUERIES = {f.__name__: f for f in (lookup_with_default, lookup_or_null, memory_type_from_cpu, cpu_match_cascade, longest_name_contained, used_parts, missing_key_worklist, similar_listings, first_match_lookup, enriched_request, key_sync, co_located_events, star_join_revenue)}
@@ -136,5 +136,5 @@ ORACLE = {
     "enriched_request": "WITH r AS (SELECT name, CASE WHEN len(name) % 2 = 0 THEN 99 END AS cores FROM (SELECT name FROM cpus ORDER BY name LIMIT 40)) SELECT r.name, coalesce(r.cores, c.cores) AS cores, c.tdp, g.tdp_w FROM r LEFT JOIN cpus c ON r.name = c.name LEFT JOIN gpus g ON c.gpu_name = g.gpu_name",
     "key_sync": "WITH b AS (SELECT gpu_name, max(estimated_price) AS p FROM gpu_prices WHERE gpu_name IS NOT NULL GROUP BY 1), j AS (SELECT g.gpu_name AS a, b.gpu_name AS b, g.estimated_price AS x, b.p AS y FROM (SELECT * FROM gpus WHERE gpu_name IS NOT NULL) g FULL JOIN b ON g.gpu_name = b.gpu_name) SELECT CASE WHEN b IS NULL THEN 'only here' WHEN a IS NULL THEN 'only there' WHEN x IS NOT DISTINCT FROM y THEN 'equal' ELSE 'changed' END AS outcome, count(*) AS names FROM j GROUP BY 1",
     "co_located_events": "WITH d AS (SELECT listing_id, count(*) AS documents, sum(n_chars) AS chars FROM documents WHERE listing_id IS NOT NULL GROUP BY 1) SELECT brand, CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT DISTINCT listing_id, brand FROM listings) l JOIN d USING (listing_id) GROUP BY 1",
-    "star_join_revenue": "SELECT n_name, p_type, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
+    "star_join_revenue": "SELECT n_name, p_type, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 6))), 2) AS DOUBLE) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
 }
