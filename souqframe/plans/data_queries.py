@@ -109,7 +109,10 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     bare = cells.where("written IS NULL").select(F.concat("kind", F.lit(":"), "source").alias("series"), "kind", "at", "id", "value", "wide").distinct()
     told = segment(bare, KINDS)
     named = F.coalesce(*[F.when(F.col("kind") == k, F.element_at(F.array(*[F.lit(n) for n in u.names]), F.col("unit") + 1)) for k, u in KINDS.items()])
-    told = told.select("id", "kind", "value", named.alias("told")).distinct()
+    # exact check: a value without unit that can be what it says in the common unit is that
+    stands = F.coalesce(*[F.when(F.col("kind") == k, F.col("value").between(u.low, u.high)) for k, u in KINDS.items()])
+    common = F.coalesce(*[F.when(F.col("kind") == k, F.lit(u.names[0])) for k, u in KINDS.items()])
+    told = told.select("id", "kind", "value", F.when(stands, common).otherwise(named).alias("told")).distinct()
     written = cells.where("written IS NOT NULL").select("id", "kind", "raw", "value", F.col("written").alias("unit"), F.lit("written").alias("method"))
     found = cells.where("written IS NULL").select("id", "kind", "raw", "value").join(told, ["id", "kind", "value"]).select("id", "kind", "raw", "value", F.col("told").alias("unit"), F.lit("history").alias("method"))
     return written.unionByName(found)
