@@ -210,8 +210,8 @@ def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]],
     for (name, (_, numeric)), t in zip(targets.items(), target_names, strict=True):
         counts = ws.stage(placed.where(F.col(t).isNotNull()).groupBy("grp", "par", "cluster", F.col(t).alias("value")).agg(F.count("*").alias("n")), f"counts-{t}")
         cells = placed.where(F.col(t).isNull()).select("id", "grp", "par", "cluster")
-        whole = _pick(counts, [], numeric, "v_all")
-        filled = cells.crossJoin(F.broadcast(whole))  # one row
+        whole = _pick(counts, [], numeric, "v_all").first()
+        filled = cells.withColumn("v_all", F.lit(whole.v_all if whole else None).cast(counts.schema["value"].dataType))
         for step, by in (("group_cluster", ["grp", "cluster"]), ("group", ["grp"]), ("parent_cluster", ["par", "cluster"]), ("cluster", ["cluster"])):
             have = counts
             for b in by:

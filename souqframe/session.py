@@ -83,3 +83,11 @@ class Workspace:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows that are slow to work on, over enough tasks: inputs of fewer tasks than twice the cores are dealt out anew.
+
+    Large inputs have more tasks than that and are left as they lie, so nothing large is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
