@@ -14,8 +14,6 @@ is missed by at most half the weight of the component at its border. Extra colum
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +73,14 @@ def components(records: DataFrame, id_column: str, keys: list[Column]) -> DataFr
     flat = records.select(F.col(f"`{id_column}`").alias("record_id"), *[k.alias(f"k{i}") for i, k in enumerate(named)])
     flat = flat.withColumn("anchor", F.coalesce(*[F.col(f"k{i}") for i in range(len(keys))], vertex(F.lit("record"), F.col("record_id"))))
     flat = ws.stage(flat, "keys")
-    tuples = flat.select("anchor", *[f"k{i}" for i in range(len(keys))]).distinct()
-    edges = reduce(DataFrame.unionByName, [tuples.where(F.col(f"k{i}").isNotNull()).select(F.col("anchor").alias("u"), F.col(f"k{i}").alias("v")) for i in range(len(keys))])
+    tuples = ws.stage(flat.select("anchor", *[f"k{i}" for i in range(len(keys))]).distinct(), "tuples")
+    edges = None
+    for i in range(len(keys)):
+        k = f"k{i}"
+        # a value that only one tuple has links nothing
+        shared = tuples.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")).where("n > 1").select(k)
+        e = tuples.where(F.col(k) != F.col("anchor")).join(shared, k, "left_semi").select(F.col("anchor").alias("u"), F.col(k).alias("v"))
+        edges = e if edges is None else edges.unionByName(e)
     labels = contract(edges, ws)
     found = flat.select("record_id", "anchor").join(labels.select(F.col("v").alias("anchor"), "root"), "anchor", "left")
     return found.select("record_id", F.coalesce("root", "anchor").alias("component"))
