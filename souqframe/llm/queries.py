@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from souqframe.functions.dates import instant
 from souqframe.llm import canonical_list, formatting_duplicates, groups_split, mixing, packing, percentiles, text_quality, tokens
 from souqframe.llm.signatures import configuration
-from souqframe.session import Workspace, read_table
+from souqframe.session import Workspace, read_table, spread_out
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 LATE = "2025-01-01T00:00:00Z"
@@ -43,9 +43,10 @@ def p1_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     ads = read_table(spark, sf, "listings")
     split = groups_split.grouped_split(ads, "listing_id", _signature_keys(), SHARES)
     per = split.groupBy("split").agg(F.count("*").alias("listings"), F.countDistinct("component").alias("configurations"))
-    total = per.agg(F.sum("listings").alias("total"))
+    per = Workspace(spark).stage(per, "shares")
+    total = per.agg(F.coalesce(F.sum("listings"), F.lit(0)).alias("total")).first().total
     want = F.coalesce(*[F.when(F.col("split") == k, F.lit(v)) for k, v in SHARES.items()])
-    return per.crossJoin(F.broadcast(total)).select("split", "listings", "configurations", want.alias("target_share"), (F.col("listings") / F.col("total")).alias("share"))
+    return per.select("split", "listings", "configurations", want.alias("target_share"), (F.col("listings") / F.lit(max(total, 1))).alias("share"))
 
 
 def _mapped_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def _packs(spark: SparkSession, sf: str) -> dict[str, int]:
 
 
 def _sizes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return Workspace(spark).stage(tokens.with_token_counts(read_table(spark, sf, "documents"), "text", ["doc_id", *columns]), "sizes")
+    return Workspace(spark).stage(tokens.with_token_counts(spread_out(read_table(spark, sf, "documents").select("doc_id", "text", *columns)), "text", ["doc_id", *columns]), "sizes")
 
 
 def p7_packs(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,15 +144,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     want = spark.createDataFrame([(r.source, r.target_share, r.max_repeats) for r in targets], "source string, target_share double, max_repeats int")
     seen = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"))
-    total = got.agg(F.sum("drawn_tokens").alias("total"))
-    full = seen.join(F.broadcast(want), "source", "full").join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(total))
+    got = Workspace(spark).stage(got, "drawn")
+    total = got.agg(F.coalesce(F.sum("drawn_tokens"), F.lit(0)).alias("total")).first().total
+    full = seen.join(want, "source", "full").join(got, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return full.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), (F.coalesce("drawn_tokens", F.lit(0)) / F.col("total")).alias("share"), zero("documents"), zero("tokens"), zero("drawn_tokens"), "max_repeats", zero("most_repeats"))
+    return full.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), (F.coalesce("drawn_tokens", F.lit(0)) / F.lit(max(total, 1))).alias("share"), zero("documents"), zero("tokens"), zero("drawn_tokens"), "max_repeats", zero("most_repeats"))
 
 
 def p9_quality(spark: SparkSession, sf: str) -> DataFrame:
     words = [r.word for r in read_table(spark, sf, "common_words").select("word").distinct().orderBy("word").collect()]
-    return text_quality.text_quality(read_table(spark, sf, "documents"), words)
+    return text_quality.text_quality(spread_out(read_table(spark, sf, "documents").select("doc_id", "text")), words)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
