@@ -246,28 +246,34 @@ class Matcher:
             return 0 if n <= 1 else 1
         return 0 if n <= 3 else 1 if n <= 5 else 2
 
-    def candidates(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """entry -> (family words that contradict it, distance, tier left out?) for all entries within reach."""
+    def candidates(self, text: str) -> dict[int, tuple[int, int, int, int]]:
+        """entry -> (family words that contradict it, distance, tier left out?, letters read as digits?) for all entries
+        within reach; of equal distances the reading with the fewest of these liberties is the nearest."""
         families, variant, code = self.read(text)
         if not any(c.isdigit() for c in code):
             return {}
         lead = f"{variant}:" if self.style.variants else ""
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
+
+        def note(marks: dict[int, int], more: int = 0, read_as_digits: int = 0) -> None:
+            for mark, d in marks.items():
+                e = mark // 2
+                if not self.style.variants or self.parts[e]["variant"] == variant:
+                    found[e] = min((d + more, mark % 2, read_as_digits), found.get(e, (99, 0, 0)))
+
+        if not self.style.variants and re.fullmatch(r"[a-z]?\d+[a-z]", code) and code[-1] not in self.letters:
+            code = code[:-1]  # a last letter that ends no code of the list says as little as none
         digits = "".join(self.lookalike.get(c, c) for c in code)
-        trie = self.codes
-        if not self.style.variants:
-            # a last letter that ends no code of the list says as little as none
-            if digits[-1:].isalpha() and digits[-1] not in self.letters and re.fullmatch(r"[a-z]?\d+", digits[:-1]):
-                code = digits = digits[:-1]
-            if re.fullmatch(r"[a-z]?\d+", digits):
-                trie = self.numbers
         k = self.reach(code)
-        for c in {code, digits}:
-            for mark, d in trie.within(lead + c, k).items():
-                e = mark // 2
-                if self.style.variants and self.parts[e]["variant"] != variant:
-                    continue
-                found[e] = min((d, mark % 2), found.get(e, (k + 1, 0)))
+        bare = not self.style.variants and re.fullmatch(r"[a-z]?\d+", digits) is not None
+        if bare:
+            note(self.numbers.within(digits, 0))
+        if not found:
+            note(self.codes.within(lead + code, k))
+            if digits != code:
+                note(self.codes.within(lead + digits, k), 0, 1)
+            if bare:  # a number nearly right, and its variant left out besides
+                note(self.numbers.within(digits, k), 1)
         return {e: (len(families - set(self.parts[e]["family"].split())), *d) for e, d in found.items()}
 
     def match(self, text: str | None) -> str:
