@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -70,6 +71,12 @@ class Workspace:
         back._staged_path = path
         return back
 
+    def stage_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """As :meth:`stage`, with the number of rows written, counted while writing."""
+        seen = Observation()
+        back = self.stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return back, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete staged tables that nothing reads any more."""
         jvm = self.spark._jvm
