@@ -71,16 +71,23 @@ def components(records: DataFrame, id_column: str, keys: list[Column]) -> DataFr
     ws = Workspace(records.sparkSession)
     named = [F.when(k.isNotNull(), vertex(F.lit(i), k)) for i, k in enumerate(keys)]
     flat = records.select(F.col(f"`{id_column}`").alias("record_id"), *[k.alias(f"k{i}") for i, k in enumerate(named)])
-    flat = flat.withColumn("anchor", F.coalesce(*[F.col(f"k{i}") for i in range(len(keys))], vertex(F.lit("record"), F.col("record_id"))))
-    flat = ws.stage(flat, "keys")
-    tuples = ws.stage(flat.select("anchor", *[f"k{i}" for i in range(len(keys))]).distinct(), "tuples")
+    # the first key there is anchors its records, so it need not be kept beside the anchor
+    places = [F.col(f"k{i}") for i in range(len(keys))]
+    flat = flat.withColumn("anchor", F.coalesce(*places, vertex(F.lit("record"), F.col("record_id"))))
+    flat = flat.withColumn("first", F.coalesce(*[F.when(p.isNotNull(), F.lit(i)) for i, p in enumerate(places)], F.lit(-1)))
+    flat = ws.stage(flat.select("record_id", "anchor", "first", *[F.when(F.col("first") < i, F.col(f"k{i}")).alias(f"k{i}") for i in range(1, len(keys))]), "keys")
+    rest = [f"k{i}" for i in range(1, len(keys))]
+    tuples = ws.stage(flat.select("anchor", "first", *rest).distinct(), "tuples")
     edges = None
-    for i in range(len(keys)):
+    for i in range(1, len(keys)):
         k = f"k{i}"
-        # a value that only one tuple has links nothing
-        shared = tuples.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")).where("n > 1").select(k)
-        e = tuples.where(F.col(k) != F.col("anchor")).join(shared, k, "left_semi").select(F.col("anchor").alias("u"), F.col(k).alias("v"))
+        # a value that only one tuple has links nothing; it may be another tuple's anchor
+        own = tuples.where(F.col(k).isNotNull()).select(F.col("anchor").alias("u"), F.col(k).alias("v"))
+        shared = own.select("v").unionByName(tuples.where(F.col("first") == i).select(F.col("anchor").alias("v"))).groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+        e = own.join(shared, "v", "left_semi").select("u", "v")
         edges = e if edges is None else edges.unionByName(e)
+    if edges is None:  # one key: its values are the components
+        return flat.select("record_id", F.col("anchor").alias("component"))
     labels = contract(edges, ws)
     found = flat.select("record_id", "anchor").join(labels.select(F.col("v").alias("anchor"), "root"), "anchor", "left")
     return found.select("record_id", F.coalesce("root", "anchor").alias("component"))
