@@ -30,17 +30,17 @@ def vertex(*parts: Column) -> Column:
 def contract(edges: DataFrame, ws: Workspace, seed: int = 17) -> DataFrame:
     """Edges ``u, v`` (any order, repeats allowed) -> ``v, root`` for every vertex but the roots."""
     both = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
-    current = ws.stage(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    current, left_over = ws.stage_counted(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     maps: list[DataFrame] = []
     round_no = 0
-    while not current.isEmpty():
+    while left_over:
         head = lambda c: (F.xxhash64(F.lit(seed + round_no), c) % 2) == 0  # noqa: B023, E731
         mates = current.select(F.explode(both).alias("e")).select("e.*").where(~head(F.col("a")) & head(F.col("b"))).groupBy("a").agg(F.min("b").alias("b"))
         mates = ws.stage(mates, f"mates{round_no}")
         maps.append(mates)
         left = current.join(mates.select(F.col("a").alias("u"), F.col("b").alias("u2")), "u", "left").select(F.coalesce("u2", "u").alias("u"), "v")
         right = left.join(mates.select(F.col("a").alias("v"), F.col("b").alias("v2")), "v", "left").select("u", F.coalesce("v2", "v").alias("v"))
-        following = ws.stage(right.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"edges{round_no}")
+        following, left_over = ws.stage_counted(right.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"edges{round_no}")
         ws.drop(current)
         current = following
         round_no += 1

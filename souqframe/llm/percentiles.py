@@ -76,10 +76,10 @@ def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> D
     data = ws.stage(summary.alias("s").join(groups.alias("g"), on).select("g.gid", "s.value", "s.n"), "values")
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(x)).alias("quantile")) for i, x in enumerate(quantiles)]))
     targets = groups.select("gid", "n_values", q.alias("q")).select("gid", "q.qi", "q.quantile", "n_values", F.greatest(F.ceil(F.col("q.quantile") * F.col("n_values")), F.lit(1)).cast("bigint").alias("rank"))
-    active = ws.stage(targets.select((F.col("gid") * 1000 + F.col("qi")).alias("target"), "gid", "rank", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("rest")), "targets")
+    active, wanted = ws.stage_counted(targets.select((F.col("gid") * 1000 + F.col("qi")).alias("target"), "gid", "rank", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("rest")), "targets")
     found: list[DataFrame] = []
     rounds = 0
-    while not active.isEmpty():
+    while wanted:
         cand = data.join(active, "gid").where((F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi"))))
         medians = cand.select("target", "value", "n").mapInPandas(_proposals, "target bigint, value double, n bigint")
         w = Window.partitionBy("target").orderBy("value")
@@ -102,7 +102,7 @@ def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> D
             F.when(F.col("rest") <= F.col("below"), F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
             F.when(F.col("rest") <= F.col("below"), F.col("rest")).otherwise(F.col("rest") - F.col("below") - F.col("at")).alias("rest"),
         )
-        following = ws.stage(following, f"targets{rounds}")
+        following, wanted = ws.stage_counted(following, f"targets{rounds}")
         ws.drop(active, pivots)
         active = following
         rounds += 1
