@@ -35,7 +35,7 @@ MAX_COMMON = 0.7  # beyond it, common words without content
 MAX_GARBLED = 0.02  # share of letters in wrongly decoded pairs
 #: Least share of common words and least mean fragment, and the same where most lines end in punctuation.
 MIN_COMMON, MIN_COMMON_ENDED, MIN_COMMON_ARABIC = 0.08, 0.03, 0.015
-MIN_FRAGMENT, MIN_FRAGMENT_ENDED = 6.2, 5.2
+MIN_FRAGMENT, MIN_FRAGMENT_ENDED = 6.8, 4.9
 MIN_FRAGMENT_ARABIC, MIN_FRAGMENT_ARABIC_ENDED = 4.3, 3.6
 MAX_HASHES = 0.05  # hash signs per word
 MAX_BULLETED = 0.5  # share of words in lines that start with a list marker
@@ -251,7 +251,7 @@ def ratios(state: DataFrame) -> DataFrame:
         (F.col("frag_n") + end).alias("fragments"),
     )
     arabic = F.coalesce(F.col("arabic_share") >= 0.3, F.lit(False))
-    ended = F.coalesce(F.col("ended_unwrapped_share") >= 0.5, F.lit(False))
+    ended = F.coalesce(F.col("ended_unwrapped_share") > 0.5, F.lit(False))
     least_common = F.when(arabic, MIN_COMMON_ARABIC).when(ended, MIN_COMMON_ENDED).otherwise(MIN_COMMON)
     least_fragment = F.when(arabic & ended, MIN_FRAGMENT_ARABIC_ENDED).when(arabic, MIN_FRAGMENT_ARABIC).when(ended, MIN_FRAGMENT_ENDED).otherwise(MIN_FRAGMENT)
     rules = {
