@@ -58,6 +58,7 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/souqframe-{uuid.uuid4().hex}"
         self._n = 0
+        _bases.append(self.base)
 
     def stage(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return it as read back, with the schema it was written with."""
@@ -88,6 +89,18 @@ class Workspace:
                 p.getFileSystem(conf).delete(p, True)
 
 
+_bases: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the staged tables of all queries of this process, once their results are written elsewhere."""
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _bases:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_bases.pop())
+        gone += int(p.getFileSystem(conf).delete(p, True))
+    return gone
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

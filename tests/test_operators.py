@@ -145,3 +145,18 @@ def test_contracts(spark):
     assert list(found.values()) == [1, 1, 1]
     with pytest.raises(ValueError, match="no_such, other"):
         contracts.check(df, [contracts.required("other"), contracts.required("no_such")])
+
+
+def test_staged_tables(spark):
+    from souqframe import session
+
+    ws = Workspace(spark)
+    kept, n = ws.stage_counted(spark.range(5), "five")
+    gone = ws.stage(spark.range(3), "three")
+    assert n == 5 and kept.count() == 5 and ws.stage_counted(spark.range(0), "none")[1] == 0
+    path = gone._staged_path.removeprefix("file://")
+    ws.drop(gone, None)
+    import os
+
+    assert not os.path.exists(path) and kept._staged_path.startswith(session.shared_dir(spark))
+    assert session.clean_up(spark) >= 1 and session.clean_up(spark) == 0
