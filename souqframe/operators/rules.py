@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def subsets(items: Column, size: int) -> Column:
-    """All sorted subsets of ``size`` items (1 to 3) of a sorted array."""
+    """All sorted subsets of ``size`` items of a sorted array."""
     one = F.transform(items, lambda a: F.array(a))
     if size == 1:
         return one
@@ -21,10 +21,12 @@ def subsets(items: Column, size: int) -> Column:
     return out
 
 
-def frequent_itemsets(baskets: DataFrame, items: str, least_support: float, longest: int = 3) -> DataFrame:
-    """``items, n, support`` of every itemset up to ``longest`` items with enough support."""
+def frequent_itemsets(baskets: DataFrame, items: str, least_support: float, longest: int | None = None) -> DataFrame:
+    """``items, n, support`` of every itemset with enough support, up to ``longest`` items or the largest basket."""
     own = F.array_sort(F.array_distinct(F.array_compact(F.col(items))))
-    n = baskets.count()
+    seen = baskets.agg(F.count("*").alias("n"), F.max(F.size(own)).alias("most")).first()
+    n, most = seen.n, max(seen.most or 0, 1)
+    longest = most if longest is None else min(longest, most)
     every = F.flatten(F.array(*[subsets(F.col("_b"), k) for k in range(1, longest + 1)]))
     counted = baskets.select(own.alias("_b")).groupBy("_b").agg(F.count("*").alias("_w")).select(F.explode(every).alias("items"), "_w").groupBy("items").agg(F.sum("_w").alias("n"))
     return counted.where(F.col("n") >= least_support * n).withColumn("support", F.col("n") / F.lit(float(max(n, 1))))

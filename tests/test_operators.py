@@ -122,6 +122,26 @@ def test_rules(spark):
     assert [r.y for r in texts.select(rules.parse_itemset(F.col("x")).alias("y")).collect()] == [["a", "b"], ["x"], [], None]
 
 
+def test_itemsets_up_to_whole_baskets(spark):
+    baskets = [list("abcde")] * 6 + [list("abcd")] * 2 + [["a", "x"], ["b", None], [], None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)], "id int, items array<string>")
+    want = {}
+    for k in range(1, 6):
+        for c in itertools.combinations("abcdex", k):
+            n = sum(set(c) <= set(b or []) for b in baskets)
+            if n >= 6:
+                want[c] = n
+    sets = rules.frequent_itemsets(df, "items", 0.5)
+    assert {tuple(r["items"]): r.n for r in sets.collect()} == want and tuple("abcde") in want
+    assert {tuple(r["items"]) for r in rules.frequent_itemsets(df, "items", 0.5, longest=3).collect()} == {c for c in want if len(c) <= 3}
+    mined = rules.rules(sets, 0.7, 0.0)
+    confidence = {(*r.antecedent, "->", *r.consequent): r.confidence for r in mined.collect()}
+    assert confidence[("a", "b", "c", "d", "->", "e")] == pytest.approx(6 / 8)
+    labels = {r.id: r.labels for r in rules.violations(df, "id", "items", mined).collect()}
+    assert "a+b+c+d -> e" in labels[6] and 0 not in labels
+    assert rules.frequent_itemsets(df.limit(0), "items", 0.5).count() == 0
+
+
 def test_planted_outliers(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, (300, 2))
