@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, permutations
+from itertools import combinations, groupby, pairwise, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +16,8 @@ from souqframe.session import Workspace
 #: A table is broadcast only if it has at most so many rows and bytes; larger ones are joined by shuffle.
 BROADCAST_ENTRIES = 100_000
 BROADCAST_BYTES = 8 << 20
-#: Values of more words agree without their white space only in the order written.
-MAX_FREE_WORDS = 6
+#: Arrangements of up to so many words are listed; values of more words are compared in pairs, with the same result.
+LISTED_WORDS = 6
 
 
 def small(df: DataFrame, *texts: str) -> DataFrame:
@@ -27,7 +28,63 @@ def small(df: DataFrame, *texts: str) -> DataFrame:
 
 def _arrangements(t: str, written: list[str]) -> set[str]:
     words = t.split(" ")
-    return {*written, *("".join(p) for p in permutations(words))} if len(words) <= MAX_FREE_WORDS else set(written)
+    return {*written, *("".join(p) for p in permutations(words))} if len(words) <= LISTED_WORDS else set(written)
+
+
+def _joints_fit(x: Counter[str], y: Counter[str]) -> bool:
+    """False if letters that stand together within words of ``x`` cannot all meet within or between words of ``y``."""
+    within = lambda words: sum((Counter({p: n * k for p, k in Counter(pairwise(w)).items()}) for w, n in words.items()), Counter())
+    first, last, ends, starts = Counter(), Counter(), Counter(), Counter()
+    for (p, q), n in (within(x) - within(y)).items():
+        first[p] += n
+        last[q] += n
+    for w, n in y.items():
+        ends[w[-1]] += n
+        starts[w[0]] += n
+    return not (first - ends or last - starts)
+
+
+def _spell_alike(x: Counter[str], y: Counter[str]) -> bool:
+    """Searches for a text that the words of ``x`` spell and those of ``y`` too, word by word; remembers where it has been.
+
+    Wherever words of both end together the rest may follow in any order, so such pieces are tried by their first word of ``x``."""
+    a, b = sorted(x), sorted(y)
+    fits = lambda v, w: v.startswith(w) or w.startswith(v)
+    inner = [any(fits(v[k:], w) for v in b for k in range(1, len(v))) for w in a]
+    todo = [(tuple(x[w] for w in a), tuple(y[w] for w in b), "", True, 0)]
+    seen = set(todo)
+    while todo:
+        left, right, ahead, by_x, at = todo.pop()
+        if not ahead and not any(left) and not any(right):
+            return True
+        less = lambda counts, i: (*counts[:i], counts[i] - 1, *counts[i + 1 :])
+        found = []
+        if not ahead:
+            for i in range(at, len(a)):
+                if left[i]:
+                    found.append((less(left, i), right, a[i], True, i))
+                    if not inner[i]:
+                        break
+        else:
+            for i, w in enumerate(b if by_x else a):
+                if (right if by_x else left)[i] and fits(ahead, w):
+                    rest, turn = (ahead[len(w) :], by_x) if len(w) <= len(ahead) else (w[len(ahead) :], not by_x)
+                    found.append((left, less(right, i), rest, turn, at) if by_x else (less(left, i), right, rest, turn, at))
+        for state in reversed(found):
+            if state not in seen:
+                seen.add(state)
+                todo.append(state)
+    return False
+
+
+def arrangeable(s: str, t: str) -> bool:
+    """Whether the words of ``s`` and those of ``t``, each in some order, give the same text without white space.
+
+    Exact for any number of words: what both have in common is tried as such first, then all words are searched."""
+    x, y = Counter(s.split(" ")), Counter(t.split(" "))
+    if not s or not t or not _joints_fit(x, y) or not _joints_fit(y, x):
+        return s == t
+    return _spell_alike(x - y, y - x) or _spell_alike(x, y)
 
 
 def classes_of(keys: list[tuple[str, str]]) -> dict[str, str]:
@@ -51,6 +108,10 @@ def classes_of(keys: list[tuple[str, str]]) -> dict[str, str]:
             x, y = find(seen.setdefault(a, t)), find(t)
             if x != y:
                 root[max(x, y)] = min(x, y)
+    many = {t for t in written if t.count(" ") >= LISTED_WORDS}
+    for s, t in combinations(sorted(written), 2) if many else ():
+        if (s in many or t in many) and (x := find(s)) != (y := find(t)) and arrangeable(s, t):
+            root[max(x, y)] = min(x, y)
     return {t: find(t) for t in written}
 
 
@@ -76,8 +137,7 @@ def text_classes(values: DataFrame, ws: Workspace) -> DataFrame:
     """
     t, g = word_key(F.col("value")), glued(F.col("value"))
     keyed = ws.stage(values.where("value IS NOT NULL").select("field", "value", t.alias("t"), g.alias("g")), "keys")
-    free = F.size(F.split("t", " ")) <= MAX_FREE_WORDS
-    letters = F.when(free, F.array_join(F.array_sort(F.split("g", "")), "")).otherwise(F.col("g"))
+    letters = F.array_join(F.sort_array(F.split("g", "")), "")
     spread = ws.stage(keyed.select("field", "t", "g", letters.alias("letters")).distinct(), "letters")
     tied = spread.groupBy("field", "letters").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "letters")
     together = spread.join(tied, ["field", "letters"], "left_semi").repartition("field", "letters").sortWithinPartitions("field", "letters")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from souqframe.operators import contracts, impute, outliers, ranking, rules, units
 from souqframe.operators.running import running_sum
-from souqframe.operators.text_classes import text_classes
+from souqframe.operators.text_classes import arrangeable, text_classes
 from souqframe.session import Workspace
 
 
@@ -47,6 +47,36 @@ def test_text_classes(spark):
     assert text_classes(df.limit(0), Workspace(spark)).count() == 0
 
 
+def test_text_classes_of_many_words(spark):
+    same = [
+        ["Corvane Ion 9-11715HS @ 1.30GHz", "Corvane Ion 9-11715 HS @ 1.30GHz"],
+        ["one two three four five six seven8", "seven 8 one two three four five six", "six five four threetwo one seven8"],
+        ["p q r s t u x1 b 2", "1 b2 x p q r s t u"],
+    ]
+    other = ["one two three four five six seven9", "eno two three four five six seven8", "p q r s t u x2 b 1"]
+    df = spark.createDataFrame([(0, w) for ws in [*same, other] for w in ws], "field int, value string")
+    label = {r.value: r.label for r in text_classes(df, Workspace(spark)).collect()}
+    assert all(len({label[w] for w in ws}) == 1 for ws in same) and len(set(label.values())) == len(same) + len(other)
+
+
+def test_arrangeable_is_exact():
+    random.seed(8)
+    cut = lambda t: " ".join(sorted("".join(p) for p in _pieces(t)))
+    yes = 0
+    for _ in range(1500):
+        t = [random.choice("aab") for _ in range(random.randint(2, 9))]
+        s, u = cut(t), cut(random.sample(t, len(t)) if random.random() < 0.7 else t)
+        texts = [{"".join(p) for p in itertools.permutations(w.split(" "))} for w in (s, u)]
+        assert arrangeable(s, u) == bool(texts[0] & texts[1]), (s, u)
+        yes += bool(texts[0] & texts[1])
+    assert 300 < yes < 1400
+
+
+def _pieces(t):
+    at = [0, *sorted(random.sample(range(1, len(t)), min(len(t) - 1, random.randint(0, 4)))), len(t)]
+    return [t[i:j] for i, j in itertools.pairwise(at)]
+
+
 def _fill(spark, rows, **kw):
     df = spark.createDataFrame(rows, "id bigint, model string, brand string, size double, kind string, price double, value string")
     return {(r.id, r.field_name): (r.value, r.method) for r in impute.fill(df, "id", {"size": (F.col("size"), True), "kind": (F.col("kind"), False)}, F.col("model"), F.col("brand"), {"price": F.log10("price")}, {"brand": F.col("brand")}, **kw).collect()}
