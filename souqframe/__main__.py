@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from souqframe.plans import registry
-from souqframe.session import build_session
+from souqframe.session import build_session, ship_package
 
 
 def main() -> None:
@@ -21,6 +21,7 @@ def main() -> None:
         print("\n".join(sorted(registry.QUERIES)))
         return
     spark = build_session()
+    ship_package(spark)
     df = registry.QUERIES[a.name](spark, a.data)
     if a.out:
         df.write.mode("overwrite").parquet(a.out)

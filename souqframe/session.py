@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +115,35 @@ def spread_out(df: DataFrame) -> DataFrame:
     Large inputs have more tasks than that and are left as they lie, so nothing large is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every worker this package as a zip file, once per application: workers start in other folders, on other machines."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, files in sorted(os.walk(package)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    with open(path, "rb") as h:
+                        z.writestr(zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(package))), h.read())
+    data = held.getvalue()
+    at = f"{shared_dir(spark)}/souqframe-{hashlib.md5(data).hexdigest()}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{at}.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(data))
+        out.close()
+        if not fs.rename(part, target):
+            fs.delete(part, False)
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
