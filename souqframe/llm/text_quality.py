@@ -17,8 +17,10 @@ a row for each of its records; extra columns are ignored; a table without rows g
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,10 +63,13 @@ def piece_state(left: str, body: str, right: str, first: bool, last: bool, commo
     text, a = left + body + right, len(left)
     b = a + len(body)
     s["chars"] = len(body)
-    s["letters"] = sum(map(str.isalpha, body))
-    s["digits"] = sum(map(str.isdigit, body))
-    s["spaces"] = sum(map(str.isspace, body))
-    s["symbols"] = s["chars"] - sum(map(str.isalnum, body)) - s["spaces"]
+    alnum = 0
+    for c, n in Counter(body).items():
+        s["letters"] += n * c.isalpha()
+        s["digits"] += n * c.isdigit()
+        s["spaces"] += n * c.isspace()
+        alnum += n * c.isalnum()
+    s["symbols"] = s["chars"] - alnum - s["spaces"]
     s["hashes"] = body.count("#")
     s["garbled"] = 2 * sum(1 for m in _GARBLED.finditer(text) if a <= m.start() < b)
     starts, words = [], []
@@ -80,13 +85,13 @@ def piece_state(left: str, body: str, right: str, first: bool, last: bool, commo
         words.append(w if len(w) < RIGHT else f"\0{m.start()}")
     # a word that began in the piece before shows its rest here; it was counted there
     s["words"] = len(words)
-    s["word_chars"] = sum(1 for c in body if c.isalnum())
+    s["word_chars"] = alnum
     s["common"] = sum(w in common for w in words)
     s["arabic"] = sum("؀" <= w[0] <= "ۿ" for w in words)
     chain = before[-LAGS:] + words
     at = len(chain) - len(words)
     for k in range(1, LAGS + 1):
-        s[f"lag{k}"] = sum(chain[i] == chain[i - k] for i in range(max(at, k), len(chain)))
+        s[f"lag{k}"] = sum(map(eq, chain[max(at, k) :], chain[max(at, k) - k :]))
     # fragments: words between breaks
     frag, n_breaks, i = 0, 0, 0
     sq = n = 0
@@ -171,30 +176,67 @@ def merge_states(x: dict[str, int], y: dict[str, int]) -> dict[str, int]:
     return s
 
 
-def partial_states(docs: DataFrame, common_words: list[str], piece: int = PIECE) -> DataFrame:
-    """``doc BIGINT, text`` -> one state per document and piece."""
-    size = F.greatest(F.length("text"), F.lit(1))
-    k = F.explode(F.sequence(F.lit(0), F.floor((size - 1) / piece).cast("int"))).alias("piece")
-    cut = docs.select("doc", F.coalesce("text", F.lit("")).alias("text")).select("doc", "text", size.alias("size"), k)
-    at = F.col("piece") * piece
-    pieces = cut.select(
-        "doc", "piece",
-        F.substring("text", F.greatest(at - LEFT, F.lit(0)) + 1, F.least(at, F.lit(LEFT))).alias("left"),
-        F.substring("text", at + 1, F.lit(piece)).alias("body"),
-        F.substring("text", at + piece + 1, F.lit(RIGHT)).alias("right"),
-        (at + piece >= F.col("size")).alias("last"),
-    )
+def pieces(text: str, piece: int) -> Iterator[tuple[int, str, str, str, bool]]:
+    """``number, left, body, right, last`` of each piece, every letter sliced once (and its surroundings once more)."""
+    n = max(len(text), 1)
+    for k, at in enumerate(range(0, n, piece)):
+        yield k, text[max(at - LEFT, 0) : at], text[at : at + piece], text[at + piece : at + piece + RIGHT], at + piece >= n
+
+
+_PIECES = "doc bigint, piece int, left string, body string, right string, last boolean"
+
+
+def partial_states(docs: DataFrame, common_words: list[str], piece: int = PIECE, apart: int | None = None) -> DataFrame:
+    """``doc BIGINT, text`` -> one state per document and piece.
+
+    Texts of up to ``apart`` characters (default: 16 pieces) are cut and counted where they lie, in one pass. Pieces of longer ones
+    are first dealt over the cluster, so that one huge document does not keep one task busy.
+    """
+    apart = 16 * piece if apart is None else apart
     words = frozenset(common_words)
+    texts = docs.select("doc", F.coalesce("text", F.lit("")).alias("text"))
+
+    def states(keys: list[tuple[int, int]], rows: list[dict[str, int]]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=STATE)
+        out.insert(0, "piece", [k for _, k in keys])
+        out.insert(0, "doc", [d for d, _ in keys])
+        return out
+
+    def count_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, rows = [], []
+            for doc, text in zip(b["doc"], b["text"], strict=True):
+                for k, left, body, right, last in pieces(text, piece):
+                    keys.append((doc, k))
+                    rows.append(piece_state(left, body, right, k == 0, last, words))
+            if keys:
+                yield states(keys, rows)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, text in zip(b["doc"], b["text"], strict=True):
+                run, chars = [], 0
+                for p in pieces(text, piece):
+                    run.append((doc, *p))
+                    chars += len(p[2])
+                    if chars > 1 << 22:
+                        yield pd.DataFrame(run, columns=["doc", "piece", "left", "body", "right", "last"])
+                        run, chars = [], 0
+                if run:
+                    yield pd.DataFrame(run, columns=["doc", "piece", "left", "body", "right", "last"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [piece_state(l, t, r, p == 0, e, words) for p, l, t, r, e in zip(b["piece"], b["left"], b["body"], b["right"], b["last"], strict=True)]
-            out = pd.DataFrame(rows, columns=STATE)
-            out.insert(0, "piece", b["piece"].to_numpy())
-            out.insert(0, "doc", b["doc"].to_numpy())
-            yield out
+            yield states(list(zip(b["doc"], b["piece"], strict=True)), rows)
 
-    return pieces.mapInPandas(count, _SCHEMA)
+    whole = texts.where(F.length("text") <= apart).mapInPandas(count_whole, _SCHEMA)
+    long = texts.where(F.length("text") > apart)
+    chars = long.agg(F.sum(F.length("text").cast("bigint")).alias("n")).first().n
+    if not chars:
+        return whole
+    spread = long.mapInPandas(cut, _PIECES).repartition(-(-chars // (8 * piece)), "doc", "piece")
+    return whole.unionByName(spread.mapInPandas(count_pieces, _SCHEMA))
 
 
 def _merge_group(d: pd.DataFrame) -> pd.DataFrame:

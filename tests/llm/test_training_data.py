@@ -333,3 +333,12 @@ def test_huge_documents_go_through_the_tree(spark):
     assert [(r.doc_id, r.is_prose, r.n_words) for r in a if r.doc_id != 2] == [(r.doc_id, r.is_prose, r.n_words) for r in b if r.doc_id != 2]
     assert a[0] == b[0] and a[1].n_words == 1
     assert text_quality.text_quality(df.limit(0), COMMON).count() == 0
+
+
+def test_cutting_is_linear_and_the_same_apart_or_not(spark):
+    text = "The machine works, and the price is fair.\n- one\n" * 4000
+    n = [sum(len(left) + len(body) + len(right) for _, left, body, right, _ in text_quality.pieces(text * k, 1 << 12)) for k in (1, 2, 4)]
+    assert n[2] <= 2.1 * n[1] <= 4.3 * n[0]
+    df = spark.createDataFrame([(1, text), (1, text), (2, "short text")], "doc bigint, text string").where("doc = 1").limit(1).unionByName(spark.createDataFrame([(2, "short text"), (3, None)], "doc bigint, text string"))
+    near, far = (sorted(map(tuple, text_quality.partial_states(df, ["the"], 1 << 12, apart).collect())) for apart in (1 << 30, 0))
+    assert near == far and len(near) > 40
