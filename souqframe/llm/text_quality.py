@@ -25,6 +25,7 @@ from operator import eq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souqframe.session import Workspace
 
@@ -54,7 +55,12 @@ _SOFT_LINE = 40
 ADDED = ["chars", "letters", "digits", "symbols", "spaces", "words", "word_chars", "common", "arabic", "garbled", "hashes", "slashes", "breaks", "soft", "lines", "ended_lines", *[f"lag{k}" for k in range(1, LAGS + 1)]]
 OPEN = ["frag_n", "frag_sq", "head_frag", "tail_frag", "closed", "bullet_words", "head_line", "tail_line", "tail_bullet", "has_line"]
 STATE = ADDED + OPEN
-_SCHEMA = "doc bigint, piece int, " + ", ".join(f"{c} bigint" for c in STATE)
+
+
+def _state_type(id_type: T.DataType) -> T.StructType:
+    """``doc`` numbers the records, so that a repeated id stays several records; ``id`` is what they came with."""
+    head = [T.StructField("doc", T.LongType()), T.StructField("id", id_type), T.StructField("piece", T.IntegerType())]
+    return T.StructType([*head, *[T.StructField(c, T.LongType()) for c in STATE]])
 
 
 def piece_state(left: str, body: str, right: str, first: bool, last: bool, common: frozenset[str]) -> dict[str, int]:
@@ -183,69 +189,61 @@ def pieces(text: str, piece: int) -> Iterator[tuple[int, str, str, str, bool]]:
         yield k, text[max(at - LEFT, 0) : at], text[at : at + piece], text[at + piece : at + piece + RIGHT], at + piece >= n
 
 
-_PIECES = "doc bigint, piece int, left string, body string, right string, last boolean"
-
-
 def partial_states(docs: DataFrame, common_words: list[str], piece: int = PIECE, apart: int | None = None) -> DataFrame:
-    """``doc BIGINT, text`` -> one state per document and piece.
+    """``doc BIGINT, id, text`` -> one state per document and piece.
 
     Texts of up to ``apart`` characters (default: 16 pieces) are cut and counted where they lie, in one pass. Pieces of longer ones
     are first dealt over the cluster, so that one huge document does not keep one task busy.
     """
     apart = 16 * piece if apart is None else apart
     words = frozenset(common_words)
-    texts = docs.select("doc", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc", "id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = _state_type(docs.schema["id"].dataType)
+    cut_type = T.StructType([*schema.fields[:3], *[T.StructField(c, T.StringType()) for c in ("left", "body", "right")], T.StructField("last", T.BooleanType())])
 
-    def states(keys: list[tuple[int, int]], rows: list[dict[str, int]]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=STATE)
-        out.insert(0, "piece", [k for _, k in keys])
-        out.insert(0, "doc", [d for d, _ in keys])
-        return out
+    def states(keys: list[tuple], rows: list[dict[str, int]]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame(keys, columns=["doc", "id", "piece"]), pd.DataFrame(rows, columns=STATE)], axis=1)
 
     def count_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys, rows = [], []
-            for doc, text in zip(b["doc"], b["text"], strict=True):
+            for doc, own, text in zip(b["doc"], b["id"], b["text"], strict=True):
                 for k, left, body, right, last in pieces(text, piece):
-                    keys.append((doc, k))
+                    keys.append((doc, own, k))
                     rows.append(piece_state(left, body, right, k == 0, last, words))
             if keys:
                 yield states(keys, rows)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, text in zip(b["doc"], b["text"], strict=True):
+            for doc, own, text in zip(b["doc"], b["id"], b["text"], strict=True):
                 run, chars = [], 0
                 for p in pieces(text, piece):
-                    run.append((doc, *p))
+                    run.append((doc, own, *p))
                     chars += len(p[2])
-                    if chars > 1 << 22:
-                        yield pd.DataFrame(run, columns=["doc", "piece", "left", "body", "right", "last"])
+                    if chars > 1 << 22 or p[4]:
+                        yield pd.DataFrame(run, columns=cut_type.names)
                         run, chars = [], 0
-                if run:
-                    yield pd.DataFrame(run, columns=["doc", "piece", "left", "body", "right", "last"])
 
     def count_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [piece_state(l, t, r, p == 0, e, words) for p, l, t, r, e in zip(b["piece"], b["left"], b["body"], b["right"], b["last"], strict=True)]
-            yield states(list(zip(b["doc"], b["piece"], strict=True)), rows)
+            yield states(list(zip(b["doc"], b["id"], b["piece"], strict=True)), rows)
 
-    whole = texts.where(F.length("text") <= apart).mapInPandas(count_whole, _SCHEMA)
+    whole = texts.where(F.length("text") <= apart).mapInPandas(count_whole, schema)
     long = texts.where(F.length("text") > apart)
     chars = long.agg(F.sum(F.length("text").cast("bigint")).alias("n")).first().n
     if not chars:
         return whole
-    spread = long.mapInPandas(cut, _PIECES).repartition(-(-chars // (8 * piece)), "doc", "piece")
-    return whole.unionByName(spread.mapInPandas(count_pieces, _SCHEMA))
+    spread = long.mapInPandas(cut, cut_type).repartition(-(-chars // (8 * piece)), "doc", "piece")
+    return whole.unionByName(spread.mapInPandas(count_pieces, schema))
 
 
 def _merge_group(d: pd.DataFrame) -> pd.DataFrame:
     d = d.sort_values("piece")
     rows = d[STATE].to_dict("records")
-    out = pd.DataFrame([reduce(merge_states, rows)], columns=STATE)
-    out.insert(0, "piece", d["piece"].iloc[0])
-    out.insert(0, "doc", d["doc"].iloc[0])
-    return out
+    head = d[["doc", "id", "piece"]].head(1).reset_index(drop=True)
+    return pd.concat([head, pd.DataFrame([reduce(merge_states, rows)], columns=STATE)], axis=1)
 
 
 def document_states(docs: DataFrame, common_words: list[str], piece: int = PIECE) -> DataFrame:
@@ -260,7 +258,7 @@ def document_states(docs: DataFrame, common_words: list[str], piece: int = PIECE
     tree = states.join(many.select("doc"), "doc", "left_semi")
     while top > 0:
         grouped = tree.withColumn("_g", F.floor(F.col("piece") / FAN).cast("int"))
-        tree = grouped.groupBy("doc", "_g").applyInPandas(_merge_group, _SCHEMA).withColumn("piece", F.floor(F.col("piece") / FAN).cast("int"))
+        tree = grouped.groupBy("doc", "_g").applyInPandas(_merge_group, states.schema).withColumn("piece", F.floor(F.col("piece") / FAN).cast("int"))
         top //= FAN
     return single.unionByName(tree)
 
@@ -276,7 +274,7 @@ def ratios(state: DataFrame) -> DataFrame:
     sq = F.col("frag_sq") + F.col("head_frag") * F.col("head_frag") + F.when(F.col("closed") == 1, F.col("tail_frag") * F.col("tail_frag")).otherwise(0)
     bullets = F.col("bullet_words") + F.when(F.col("has_line") == 1, F.col("tail_bullet") * F.col("tail_line")).otherwise(0)
     s = state.select(
-        "doc",
+        "id",
         n.alias("n_words"),
         share(F.col("word_chars"), n).alias("mean_word_length"),
         share(F.col("symbols"), F.col("chars")).alias("symbol_ratio"),
@@ -312,5 +310,6 @@ def ratios(state: DataFrame) -> DataFrame:
 
 
 def text_quality(docs: DataFrame, common_words: list[str], id_column: str = "doc_id", text_column: str = "text", piece: int = PIECE) -> DataFrame:
-    named = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text"))
-    return ratios(document_states(named, common_words, piece)).withColumnRenamed("doc", id_column)
+    """One row per record: ids of any type, repeated or NULL, keep a row each."""
+    named = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    return ratios(document_states(named, common_words, piece)).withColumnRenamed("id", id_column)

@@ -339,6 +339,13 @@ def test_cutting_is_linear_and_the_same_apart_or_not(spark):
     text = "The machine works, and the price is fair.\n- one\n" * 4000
     n = [sum(len(left) + len(body) + len(right) for _, left, body, right, _ in text_quality.pieces(text * k, 1 << 12)) for k in (1, 2, 4)]
     assert n[2] <= 2.1 * n[1] <= 4.3 * n[0]
-    df = spark.createDataFrame([(1, text), (1, text), (2, "short text")], "doc bigint, text string").where("doc = 1").limit(1).unionByName(spark.createDataFrame([(2, "short text"), (3, None)], "doc bigint, text string"))
+    df = spark.createDataFrame([(1, "a", text), (2, "b", "short text"), (3, "c", None)], "doc bigint, id string, text string")
     near, far = (sorted(map(tuple, text_quality.partial_states(df, ["the"], 1 << 12, apart).collect())) for apart in (1 << 30, 0))
     assert near == far and len(near) > 40
+
+
+def test_ids_of_any_type_and_repeated(spark):
+    text = "The machine works, and the price is fair.\n" * 4000
+    df = spark.createDataFrame([("a", text), ("a", text), (None, "short text"), ("b", "")], "doc_id string, text string")
+    got = sorted(((r.doc_id or "", r.n_words) for r in text_quality.text_quality(df, ["the"], piece=1 << 12).collect()))
+    assert got == [("", 2), ("a", 32_000), ("a", 32_000), ("b", 0)]
