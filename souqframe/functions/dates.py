@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_YMD = r"^\d{4}[ /.\-]\d{2}[ /.\-]\d{2}[ T]+\d{2}:\d{2}:\d{2}"
-_TYMD = r"^\d{2}:\d{2}:\d{2} \d{4}[ /.\-]\d{2}[ /.\-]\d{2}"
-_DMY = r"^\d{2}[ /.\-]\d{2}[ /.\-]\d{4}[ T]+\d{2}:\d{2}:\d{2}"
-_COMPACT = r"^\d{8}T\d{6}"
+_S = r"[ /.\-]"
+_D, _Y, _T = r"(\d{2})", r"(\d{4})", r"(\d{2}):(\d{2}):(\d{2})"
+# year first, time first, day first, compact; what fits none gives an empty date. An offset, else the Z put behind, ends the text.
+_LAYOUTS = (f"{_Y}{_S}{_D}{_S}{_D}[ T]+{_T}", f"{_T} {_Y}{_S}{_D}{_S}{_D}", f"{_D}{_S}{_D}{_S}{_Y}[ T]+{_T}", rf"{_Y}{_D}{_D}T{_D}{_D}{_D}")
+_READ = rf"(?s)^(?:(?:{'|'.join(_LAYOUTS)}).*?([+\-]\d{{2}}:\d{{2}}(?=Z$)|Z$)Z?|.*)$"
+_WRITTEN = "$1$10$15$19-$2$11$14$20-$3$12$13$21T$4$7$16$22:$5$8$17$23:$6$9$18$24$25"
 
 
 def instant(c: Column) -> Column:
@@ -17,20 +19,4 @@ def instant(c: Column) -> Column:
     Read: year first with blank, dash, slash or dot (T or blank before the time), time before the
     date, day first, and the compact form; an offset at the end is honoured, else the time is UTC.
     """
-    s = F.upper(F.trim(c))
-
-    def part(at: int, n: int) -> Column:
-        return F.substring(s, at, n)
-
-    def iso(y: int, m: int, d: int, t: Column) -> Column:
-        return F.concat(part(y, 4), F.lit("-"), part(m, 2), F.lit("-"), part(d, 2), F.lit("T"), t)
-
-    compact_time = F.concat(part(10, 2), F.lit(":"), part(12, 2), F.lit(":"), part(14, 2))
-    plain = (
-        F.when(s.rlike(_YMD), iso(1, 6, 9, F.substring(F.ltrim(F.translate(F.substring(s, 11, 14), "T", " ")), 1, 8)))
-        .when(s.rlike(_TYMD), iso(10, 15, 18, part(1, 8)))
-        .when(s.rlike(_DMY), iso(7, 4, 1, F.substring(F.ltrim(F.translate(F.substring(s, 11, 14), "T", " ")), 1, 8)))
-        .when(s.rlike(_COMPACT), iso(1, 5, 7, compact_time))
-    )
-    offset = F.when(F.substring(s, -6, 6).rlike(r"^[+\-]\d{2}:\d{2}$"), F.substring(s, -6, 6)).otherwise(F.lit("Z"))
-    return F.concat(plain, offset).try_cast("timestamp")
+    return F.regexp_replace(F.concat(F.upper(F.trim(c)), F.lit("Z")), _READ, _WRITTEN).try_cast("timestamp")
