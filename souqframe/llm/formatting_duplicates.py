@@ -1,8 +1,11 @@
 """Duplicates hidden by formatting: dictionary-encode, rewrite as integer tuples, group the tuples.
 
 Each text column gets a dictionary: every distinct value is canonicalised once, values that differ only
-in case, white space, punctuation or order of words share a class, and each class gets an integer.
-Records become tuples of (field number, integer) in field order; equal tuples are copies.
+in case, white space, punctuation or order of words share a class, and the classes of a column are numbered 1, 2, 3 ...
+without gaps (0 is NULL). A record becomes the tuple of its columns' integers in field order; numbers and instants are
+integers already. Neighbouring small integers of a tuple are packed into one word as digits of a mixed-radix number,
+which loses nothing because the dictionaries' sizes are known. Equal tuples are copies: a 64-bit digest only
+selects the few records that may have a copy, and those are grouped by the tuples themselves.
 
 Two spellings share a class if they have the same words in any order, or the same letters once
 white space and punctuation are gone, or both share a class with a third.
@@ -11,7 +14,7 @@ Defined results: NULL agrees with NULL and NaN with NaN, but not with each other
 letter or digit agree with each other only; ``instant_columns`` agree by the instant they name,
 unreadable ones as text. An empty table gives an empty result. A record whose key occurs twice
 (the same ``id_column``) counts once. Columns of other types compare by value; arrays, maps and
-structs compare by their JSON text.
+structs compare by their JSON text, decimals and binaries by their text.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,90 +64,129 @@ def distinct_values(columns: DataFrame) -> DataFrame:
     return columns.mapInArrow(gather, "field int, value string").groupBy("field", "value").agg(F.lit(1).alias("one")).select("field", "value")
 
 
-def text_dictionary(values: DataFrame, ws: Workspace) -> DataFrame:
-    """``field INT, value STRING`` (distinct) -> ``field, value, id BIGINT``, staged.
+def text_dictionary(values: DataFrame, ws: Workspace, exact: tuple[int, ...] = (), bins: int = 4096) -> DataFrame:
+    """``field INT, value STRING`` (distinct) -> ``field, value, id BIGINT``, staged. The ids of a field are 1..n; values of
+    one class share theirs; every value of an ``exact`` field is a class of its own.
 
-    A class's integer is the hash of its field and name, so dictionaries of separate days agree.
+    Classes are ranked within hash slices of their field and the slices' sizes added up, so no task ranks a whole field.
     """
-    named = text_classes(values, ws)
-    return ws.stage(named.select("field", "value", F.xxhash64("field", "label").alias("id")), "dictionary")
-
-
-def _value_id(c: Column, kind: T.DataType) -> Column:
-    """A BIGINT for a column that needs no dictionary; NULL has its own."""
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        c = F.to_json(F.struct(c.alias("v")))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
-    return F.when(c.isNull(), F.lit(-1).cast("bigint")).otherwise(F.xxhash64(c))
+    named = text_classes(values.where(~F.col("field").isin(*exact)) if exact else values, ws)
+    if exact:
+        named = named.unionByName(values.where(F.col("field").isin(*exact)).select("field", "value", F.col("value").alias("label")))
+    sliced = named.withColumn("slice", F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int"))
+    ranked = ws.stage(sliced.withColumn("rank", F.dense_rank().over(Window.partitionBy("field", "slice").orderBy("label"))).drop("label"), "ranked")
+    sizes = ranked.groupBy("field", "slice").agg(F.max("rank").cast("bigint").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("field").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most ``bins`` rows a field
+    starts = sizes.select("field", "slice", before.alias("before"))
+    return ranked.join(F.broadcast(starts), ["field", "slice"]).select("field", "value", (F.col("before") + F.col("rank")).alias("id"))
+
+
+def _own_integer(c: Column, kind: T.DataType) -> Column | None:
+    """The BIGINT a value is already, None if it needs a dictionary. A double's 64 bits go through a 64-bit mix that is one to
+    one, so different numbers stay different."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.xxhash64(F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return c.cast("bigint")
+    return None
+
+
+def _packed(digits: list[tuple[Column, int]]) -> list[Column]:
+    """Words of as many neighbouring digits (a value below its size) as 62 bits hold."""
+    words, word, room = [], None, 1
+    for value, size in digits:
+        if word is not None and room * size <= 1 << 62:
+            word, room = word * F.lit(size) + value, room * size
+        else:
+            words += [word] if word is not None else []
+            word, room = value, size
+    return words + ([word] if word is not None else [])
 
 
 def encode(df: DataFrame, id_column: str, exclude: tuple[str, ...] = (), instant_columns: tuple[str, ...] = ()) -> DataFrame:
-    """``record_id`` and the 128-bit digest ``d1, d2`` of each record's tuple, staged."""
+    """``record_id``, the words ``w0, w1 ...`` of each record's tuple and their ``digest``, staged."""
     ws = Workspace(df.sparkSession)
     skip = {id_column, *exclude}
     fields = [f for f in df.schema.fields if f.name not in skip]
     # positional names keep clashing or odd column names out of every expression below
     plain = df.select(F.col(f"`{id_column}`").alias("record_id"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)])
-    texts = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
-    times = {i for i in texts if fields[i].name in instant_columns}
-    for i in times:
+    texts, exact, numbers = [], [], []
+    for i, f in enumerate(fields):
+        c = F.col(f"c{i}")
+        if isinstance(f.dataType, T.StringType):
+            texts.append(i)
+        elif (own := _own_integer(c, f.dataType)) is not None:
+            numbers.append(f"c{i}")
+            plain = plain.withColumn(f"c{i}", own if f.nullable is False else F.when(c.isNotNull(), own))
+        else:
+            texts.append(i)
+            exact.append(i)
+            nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+            written = F.to_json(F.struct(c.alias("v"))) if nested else F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+            plain = plain.withColumn(f"c{i}", F.when(c.isNotNull(), written))
+    for i in [i for i in texts if fields[i].name in instant_columns]:
         plain = plain.withColumn(f"t{i}", F.unix_micros(instant(F.col(f"c{i}"))))
         plain = plain.withColumn(f"c{i}", F.when(F.col(f"t{i}").isNull(), F.col(f"c{i}")))
-    tuple_ids = {i: _value_id(F.col(f"c{i}"), f.dataType) for i, f in enumerate(fields) if i not in texts}
-    if not texts:
-        return ws.stage(plain.select("record_id", *_fold(tuple_ids)), "tuples")
-    words = text_dictionary(distinct_values(plain.select(*[f"c{i}" for i in texts])), ws)
-    sizes = {r.field: r for r in words.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("b")).collect()}
-    large = []
-    for i in texts:
-        id_of = F.col(f"i{i}")
-        if i in sizes:
+        numbers.append(f"t{i}")
+    # numbers are words of their own; which of them are NULL are digits like any other
+    whole = [F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in numbers]
+    digits = [(F.col(c).isNull().cast("bigint"), 2) for c in numbers]
+    large: list[tuple[int, int, DataFrame]] = []
+    if texts:
+        words = ws.stage(text_dictionary(distinct_values(plain.select(*[f"c{i}" for i in texts])), ws, tuple(exact)), "dictionary")
+        sizes = {r.field: r for r in words.groupBy("field").agg(F.count("*").alias("n"), F.max("id").alias("top"), F.sum(F.octet_length("value") + 16).alias("b")).collect()}
+        for i in [i for i in texts if i in sizes]:
             d = words.where(F.col("field") == i).select(F.col("value").alias(f"c{i}"), F.col("id").alias(f"i{i}"))
             if sizes[i].n > BROADCAST_ENTRIES or sizes[i].b > BROADCAST_BYTES:
-                large.append((i, d))
-                continue
-            plain = plain.join(F.broadcast(d), f"c{i}", "left")
-        else:
-            id_of = F.lit(None).cast("bigint")
-        own = F.coalesce(id_of, F.lit(-1).cast("bigint"))
-        # instants and dictionary integers live in different ranges: the pair keeps them apart
-        tuple_ids[i] = F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit("instant"), F.col(f"t{i}"))).otherwise(own) if i in times else own
-    # what is known is folded first, so a join with a large dictionary moves an id, two integers and the value
-    kept = [c for i, _ in large for c in ([f"c{i}", f"t{i}"] if i in times else [f"c{i}"])]
-    out = plain.select("record_id", *_fold(tuple_ids), *kept)
-    for i, d in large:
-        own = F.coalesce(F.col(f"i{i}"), F.lit(-1).cast("bigint"))
-        if i in times:
-            own = F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(F.lit("instant"), F.col(f"t{i}"))).otherwise(own)
-        more = _fold({i: own})
-        rest = [c for c in out.columns if c not in ("record_id", "d1", "d2", f"c{i}", f"t{i}")]
-        out = out.join(d, f"c{i}", "left").select("record_id", *[F.col(n).bitwiseXOR(m).alias(n) for n, m in zip(("d1", "d2"), more, strict=True)], *rest)
-    return ws.stage(out, "tuples")
-
-
-def _fold(ids: dict[int, Column]) -> list[Column]:
-    """``d1, d2``: the 128-bit digest of (field, integer) pairs, the same in whatever order they come."""
-    out = []
-    for seed, name in ((1, "d1"), (2, "d2")):
-        fold = F.lit(0).cast("bigint")
-        for i in sorted(ids):
-            fold = fold.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(i), ids[i]))
-        out.append(fold.alias(name))
-    return out
+                large.append((i, sizes[i].top, d))
+            else:
+                plain = plain.join(F.broadcast(d), f"c{i}", "left")
+                digits.append((F.coalesce(F.col(f"i{i}"), F.lit(0).cast("bigint")), sizes[i].top + 1))
+    # what is known is packed first, so a join with a large dictionary moves few words and the value
+    out = plain.select("record_id", *[w.alias(f"w{k}") for k, w in enumerate([*whole, *_packed(digits)])], *[f"c{i}" for i, _, _ in large])
+    for i, _, d in large:
+        out = out.join(d, f"c{i}", "left").drop(f"c{i}")
+    known = [c for c in out.columns if c.startswith("w")]
+    more = _packed([(F.coalesce(F.col(f"i{i}"), F.lit(0).cast("bigint")), top + 1) for i, top, _ in large])
+    out = out.select("record_id", *known, *[w.alias(f"w{len(known) + k}") for k, w in enumerate(more)])
+    tuple_words = [c for c in out.columns if c != "record_id"]
+    return ws.stage(out.withColumn("digest", F.xxhash64(*tuple_words)), "tuples")
+
+
+def _words(tuples: DataFrame) -> list[str]:
+    return [c for c in tuples.columns if c not in ("record_id", "digest")]
+
+
+def _suspects(tuples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digests with one id (``digest, first_id``), and the records of the others."""
+    per = tuples.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
+    several = per.where("first_id < last_id").select("digest")
+    return per.where("first_id = last_id").select("digest", "first_id"), tuples.join(several, "digest", "left_semi")
 
 
 def collapse(tuples: DataFrame) -> DataFrame:
-    """One row per distinct record: ``first_id`` and ``n_copies`` (different ids), ``d1, d2``.
+    """One row per distinct record: ``first_id`` and ``n_copies`` (different ids).
 
     Ids are made distinct first, then counted: both steps combine before they shuffle, so one group may
     hold any share of the rows.
     """
-    ids = tuples.groupBy("d1", "d2", "record_id").agg(F.lit(1).alias("one"))
-    return ids.groupBy("d1", "d2").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies"))
+    single, several = _suspects(tuples)
+    words = _words(tuples)
+    ids = several.groupBy(*words, "record_id").agg(F.lit(1).alias("one"))
+    groups = ids.groupBy(*words).agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies"))
+    return groups.select("first_id", "n_copies").unionByName(single.select("first_id", F.lit(1).cast("bigint").alias("n_copies")))
 
 
 def copies(tuples: DataFrame) -> DataFrame:
     """``first_id, copy_id`` for every other id of each set of copies."""
-    firsts = tuples.groupBy("d1", "d2").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")).where("last_id > first_id").drop("last_id")
-    return tuples.join(firsts, ["d1", "d2"]).where("record_id > first_id").select("first_id", F.col("record_id").alias("copy_id")).distinct()
+    words = _words(tuples)
+    several = _suspects(tuples)[1].drop("digest")
+    firsts = several.groupBy(*words).agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")).where("last_id > first_id").drop("last_id")
+    return several.join(firsts, words).where("record_id > first_id").select("first_id", F.col("record_id").alias("copy_id")).distinct()
