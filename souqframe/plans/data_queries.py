@@ -10,7 +10,7 @@ from souqframe.functions.dates import instant
 from souqframe.functions.listing import finite, memory_type, number, real_screen
 from souqframe.operators import impute
 from souqframe.operators.text_classes import small, text_classes
-from souqframe.operators.units import Units, segment
+from souqframe.operators.units import Units, segment, stretches
 from souqframe.session import Workspace, read_table
 
 
@@ -57,18 +57,14 @@ CAPACITIES = {"RAM_SIZE": 0, "SSD_SIZE": 1, "HDD_SIZE": 2}
 PRICE = 3
 _BINARY = (("gb", "mb", "kb", "tb"), (1.0, 1 / 1024, 1 / 1024**2, 1000.0))
 _MONEY = (("dinar", "centime", "thousand", "million", "euro", "dirham"), (1.0, 0.01, 1e3, 1e4, EURO, DIRHAM))
-KINDS = {
-    0: Units(*_BINARY, *MEMORY_RANGE, centre=0.95, spread=0.3, priors=(0.9, 0.08, 0.01, 0.01), wide=DRIVE_RANGE),
-    1: Units(*_BINARY, *DRIVE_RANGE, centre=2.5, spread=0.3, priors=(0.9, 0.04, 0.01, 0.05), wide=MEMORY_RANGE),
-    2: Units(*_BINARY, *DRIVE_RANGE, centre=2.8, spread=0.3, priors=(0.9, 0.04, 0.01, 0.05)),
-    3: Units(*_MONEY, *PRICE_RANGE, centre=4.9, spread=0.35, priors=(0.9, 0.05, 0.025, 0.015, 0.005, 0.005)),
-}
+KINDS = {0: Units(*_BINARY, *MEMORY_RANGE), 1: Units(*_BINARY, *DRIVE_RANGE), 2: Units(*_BINARY, *DRIVE_RANGE), 3: Units(*_MONEY, *PRICE_RANGE)}
 
 
 def _cells(spark: SparkSession, sf: str, ws: Workspace) -> DataFrame:
-    """``id, at, source, kind, raw, value, written, known, wide``: one row per cell that holds a quantity.
+    """``id, at, series, field, kind, raw, value, written``: one row per cell that holds a quantity.
 
-    ``written`` is the unit the cell names; ``known`` is false where only the history can tell.
+    ``written`` is the unit the cell names, NULL where only the history can tell. ``kind`` is what the number describes: of two
+    swapped cells each belongs to the history of the other.
     """
     ads = read_table(spark, sf, "listings").select("listing_id", "scraped_at", "created_at", "city_grouped", *CAPACITIES, "price", "price_preview", "price_corrected")
     # capacities repeat a few hundred spellings: each is read once
@@ -84,9 +80,9 @@ def _cells(spark: SparkSession, sf: str, ws: Workspace) -> DataFrame:
         ads = ads.join(small(spelled, name), name, "left")
     ads = ads.withColumn("swapped", F.coalesce(F.col("RAM_SIZE_q.gb").between(120, DRIVE_RANGE[1]) & F.col("SSD_SIZE_q.gb").between(*MEMORY_RANGE), F.lit(False)))
     cells = []
-    for name, kind in CAPACITIES.items():
-        wide = F.col("swapped") if kind < 2 else F.lit(False)
-        cells.append(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("raw"), F.col(f"{name}_q.n").alias("value"), F.col(f"{name}_q.written").alias("written"), wide.alias("wide")))
+    for name, field in CAPACITIES.items():
+        kind = F.when(F.col("swapped"), F.lit(1 - field)).otherwise(F.lit(field)) if field < 2 else F.lit(field)
+        cells.append(F.struct(F.lit(field).alias("field"), kind.alias("kind"), F.col(name).alias("raw"), F.col(f"{name}_q.n").alias("value"), F.col(f"{name}_q.written").alias("written")))
     ads = ads.withColumns({"unit": dinar_unit(F.col("price")), "p": finite(F.col("price_corrected")), "before": finite(F.col("price_preview"))})
     p, unit = F.col("p"), F.col("unit")
     turned = F.coalesce(F.abs(p / F.nullif("before", F.lit(0.0)) - 1) > 0.005, F.lit(False))
@@ -96,35 +92,48 @@ def _cells(spark: SparkSession, sf: str, ws: Workspace) -> DataFrame:
     inside = p.between(*PRICE_RANGE)
     ads = ads.withColumn("money", F.when(foreign & ~turned & possible, unit).when(foreign & turned & inside, "dinar").when((unit == "dinar") & inside, "dinar"))
     keep = F.col("money").isNotNull() | inside | ~joke_price(p)
-    cells.append(F.struct(F.lit(PRICE).alias("kind"), F.col("price").alias("raw"), F.when(keep & (p > 0), p).alias("value"), F.col("money").alias("written"), F.lit(False).alias("wide")))
+    cells.append(F.struct(F.lit(PRICE).alias("field"), F.lit(PRICE).alias("kind"), F.col("price").alias("raw"), F.when(keep & (p > 0), p).alias("value"), F.col("money").alias("written")))
     at = F.unix_seconds(F.coalesce(instant(F.col("created_at")), F.col("scraped_at")))
     long = ads.select(F.col("listing_id").alias("id"), F.coalesce(at, F.lit(0)).alias("at"), F.coalesce("city_grouped", F.lit("?")).alias("source"), F.explode(F.array(*cells)).alias("c"))
-    return ws.stage(long.select("id", "at", "source", "c.*").where("value IS NOT NULL"), "cells")
+    return ws.stage(long.select("id", "at", "source", "c.*").where("value IS NOT NULL").withColumn("series", F.concat("kind", F.lit(":"), "source")).drop("source"), "cells")
+
+
+def _named(unit: Column) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, F.element_at(F.array(*[F.lit(n) for n in u.names]), unit + 1)) for k, u in KINDS.items()])
+
+
+def _told(cells: DataFrame) -> DataFrame:
+    """The segmentation of all histories. A source is a city; its memory, drives and prices are histories of their own."""
+    told = F.coalesce(*[F.when(F.col("kind") == k, F.array_position(F.array(*[F.lit(n) for n in u.names]), F.col("written")) - 1) for k, u in KINDS.items()])
+    return segment(cells.select("series", "kind", "at", "value", told.cast("int").alias("told")), KINDS)
+
+
+def _foreign(cells: DataFrame, ws: Workspace) -> DataFrame:
+    """The observations that lie in a segment of another unit."""
+    return small(ws.stage(_told(cells).where("unit > 0").select("series", "at", "value", "unit"), "foreign"), "series")
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, kind, raw, value, unit`` for every cell that holds a quantity."""
+    """``id, field, raw, value, unit, method`` for every cell that holds a quantity."""
     ws = Workspace(spark)
     cells = _cells(spark, sf, ws)
-    bare = cells.where("written IS NULL").select(F.concat("kind", F.lit(":"), "source").alias("series"), "kind", "at", "id", "value", "wide").distinct()
-    told = segment(bare, KINDS)
-    named = F.coalesce(*[F.when(F.col("kind") == k, F.element_at(F.array(*[F.lit(n) for n in u.names]), F.col("unit") + 1)) for k, u in KINDS.items()])
-    # exact check: a value without unit that can be what it says in the common unit is that
-    stands = F.coalesce(*[F.when(F.col("kind") == k, F.col("value").between(u.low, u.high)) for k, u in KINDS.items()])
-    common = F.coalesce(*[F.when(F.col("kind") == k, F.lit(u.names[0])) for k, u in KINDS.items()])
-    told = told.select("id", "kind", "value", F.when(stands, common).otherwise(named).alias("told")).distinct()
-    written = cells.where("written IS NOT NULL").select("id", "kind", "raw", "value", F.col("written").alias("unit"), F.lit("written").alias("method"))
-    found = cells.where("written IS NULL").select("id", "kind", "raw", "value").join(told, ["id", "kind", "value"]).select("id", "kind", "raw", "value", F.col("told").alias("unit"), F.lit("history").alias("method"))
+    written = cells.where("written IS NOT NULL").select("id", "field", "raw", "value", F.col("written").alias("unit"), F.lit("written").alias("method"))
+    bare = cells.where("written IS NULL").join(_foreign(cells, ws), ["series", "at", "value"], "left")
+    found = bare.select("id", "field", "raw", "value", _named(F.coalesce("unit", F.lit(0))).alias("unit"), F.lit("history").alias("method"))
     return written.unionByName(found)
 
 
 def _field_name() -> Column:
-    return F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for n, k in {**CAPACITIES, "price_corrected": PRICE}.items()]).alias("field_name")
+    return F.coalesce(*[F.when(F.col("field") == k, F.lit(n)) for n, k in {**CAPACITIES, "price_corrected": PRICE}.items()]).alias("field_name")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells recorded in another unit than gigabytes or dinars."""
-    return _units(spark, sf).where(~F.col("unit").isin("gb", "dinar")).select(F.col("id").alias("listing_id"), _field_name()).distinct()
+    """Cells recorded in another unit than gigabytes or dinars: those whose segment is in one, and those that name one."""
+    ws = Workspace(spark)
+    cells = _cells(spark, sf, ws)
+    history = cells.where("written IS NULL").join(_foreign(cells, ws), ["series", "at", "value"], "left_semi").select("id", "field")
+    written = cells.where(~F.col("written").isin("gb", "dinar")).select("id", "field")
+    return history.unionByName(written).select(F.col("id").alias("listing_id"), _field_name()).distinct()
 
 
 def p5_common(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,10 +147,28 @@ def p5_common(spark: SparkSession, sf: str) -> DataFrame:
     q = quantities(F.col("raw"))
     added = F.aggregate(q, F.lit(0.0), lambda a, x: a + gb(x))
     several = F.when(F.col("raw").contains("/"), gb(F.element_at(q, 1))).otherwise(added)
-    value = F.when((F.col("kind") != PRICE) & (F.col("method") == "written"), several).otherwise(F.col("value") * factor)
+    value = F.when((F.col("field") != PRICE) & (F.col("method") == "written"), several).otherwise(F.col("value") * factor)
     return u.select(F.col("id").alias("listing_id"), _field_name(), "raw", "unit", "method", value.alias("common_value")).distinct()
 
 
+def _stretches(spark: SparkSession, sf: str, number: str) -> DataFrame:
+    s = stretches(Workspace(spark).stage(_told(_cells(spark, sf, Workspace(spark))), "told"), number)
+    quantity = F.element_at(F.array(F.lit("memory"), F.lit("ssd"), F.lit("hdd"), F.lit("price")), F.col("kind") + 1)
+    return s.select(F.element_at(F.split("series", ":", 2), 2).alias("source"), quantity.alias("quantity"), "kind", *[c for c in s.columns if c not in ("series", "kind")])
+
+
+def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a source's bare numbers leave its common unit: from, to, the unit and the factor that reverses it."""
+    s = _stretches(spark, sf, "seg").where("unit > 0")
+    factor = F.coalesce(*[F.when(F.col("kind") == k, F.element_at(F.array(*[F.lit(f) for f in u.factors]), F.col("unit") + 1)) for k, u in KINDS.items()])
+    return s.select("source", "quantity", "from_at", "to_at", "cells", _named(F.col("unit")).alias("unit"), factor.alias("factor"))
+
+
+def p5_foreign_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of a source's bare numbers in any other unit than the common one."""
+    return _stretches(spark, sf, "island").where("foreign = 1").select("source", "quantity", "from_at", "to_at", "cells")
+
+
 _CAPACITY_SQL = """SELECT DISTINCT listing_id, '{col}' AS field_name FROM l
 WHERE regexp_matches(lower({col}), '[0-9] ?(tb|to|tera|تيرا|mb|mo|mégas|megas|kb|ko)')
  OR (regexp_full_match(trim({col}), '[0-9]+') AND try_cast(trim({col}) AS DOUBLE) > 0
@@ -168,4 +195,4 @@ l AS (SELECT *, coalesce(rg BETWEEN 120 AND 4096 AND sg BETWEEN 2 AND 128, false
   AND (replace(CAST(CAST(price_corrected AS BIGINT) AS VARCHAR), CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)[1], '') = '' OR starts_with('123456789', CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)))) END""",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_filled": p2_filled, "p5_found": p5_found, "p5_common": p5_common}
+QUERIES = {f.__name__: f for f in (p2_found, p2_filled, p5_found, p5_common, p5_segments, p5_foreign_stretches)}

@@ -110,27 +110,64 @@ def test_segmentation_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(30):
         costs, penalty = rng.uniform(0, 5, (7, 3)), float(rng.uniform(0, 4))
-        path = units.best_path(costs, penalty, None, None)
+        path = units.best_path(costs, np.full(3, penalty))
         cost = sum(costs[i, u] for i, u in enumerate(path)) + penalty * sum(a != b for a, b in itertools.pairwise(path))
         assert cost == pytest.approx(_brute_path(costs, penalty))
-        whole = units.transfer(costs, penalty)
-        parts = [units.transfer(costs[:3], penalty), units.transfer(costs[3:], penalty)]
+        whole = units.transfer(costs, np.full(3, penalty))
+        parts = [units.transfer(costs[:3], np.full(3, penalty)), units.transfer(costs[3:], np.full(3, penalty))]
         assert np.allclose((parts[0][:, :, None] + parts[1][None, :, :]).min(1), whole)
 
 
+PRICES = {0: units.Units(("dinar", "centime", "thousand", "dirham"), (1.0, 0.01, 1e3, 13.3), 10_000.0, 1_000_000.0)}
+CELLS = "series string, kind int, at bigint, id bigint, value double, told int"
+
+
 def test_segments_find_level_shifts_whatever_the_chunks(spark):
-    u = {0: units.Units(("one", "hundredth"), (1.0, 0.01), 10_000.0, 1_000_000.0, 4.9, 0.35, (0.9, 0.1))}
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(400):
-        v = float(round(10 ** rng.normal(4.9, 0.2)))
-        v = min(max(v, 20_000.0), 500_000.0)
-        rows.append(("s", 0, i * 600, i, v * (100 if 150 <= i < 260 else 1), False))
-    df = spark.createDataFrame(rows, "series string, kind int, at bigint, id bigint, value double, wide boolean")
-    one = {r.id: r.unit for r in units.segment(df, u).collect()}
-    many = {r.id: r.unit for r in units.segment(df, u, chunk_rows=37, slot_seconds=1200).collect()}
-    assert one == many == {i: int(150 <= i < 260) for i in range(400)}
-    assert units.segment(df.limit(0), u).count() == 0
+    rows, want = [], {}
+    for i in range(1200):
+        source, unit = f"s{i % 3}", 0
+        v = float(np.clip(round(10 ** rng.normal((4.9, 5.6, 4.6)[i % 3], 0.12)), 12_000, 900_000))
+        if source == "s0" and 300 <= i < 420:
+            v, unit = v * 100, 1
+        if source == "s1" and 600 <= i < 800:  # dear machines in dirham: bare numbers that could be dinars
+            v, unit = round(v / 13.3), 3
+        # half of the rows at one instant
+        rows.append((source, 0, min(i, 900) * 600, i, v + i / 4096, None))
+        want[i] = unit
+    rows += [("s0", 0, 5, 5000, 90_000.0, 0), ("s0", 0, 5, 5001, 90.0, 2)]
+    df = spark.createDataFrame(rows, CELLS)
+    assert sum(10_000 <= r[4] <= 1_000_000 for r in rows if want.get(r[3]) == 3) == 67
+    told = units.segment(df, PRICES)
+    of = {r[4]: r[3] for r in rows}
+    one = {of[r.value]: r.unit for r in told.collect()}
+    cut = units.segment(df, PRICES, chunk_rows=97)
+    many = {of[r.value]: r.unit for r in cut.collect()}
+    assert one == many
+    assert {k: (one.get(k), u) for k, u in want.items() if one.get(k) != u} == {}
+    assert units.segment(df.limit(0), PRICES).count() == 0
+    for t in (told, cut):
+        got = sorted((r.series, r.unit, r.cells) for r in units.stretches(t).where("unit > 0").collect())
+        assert got == [("s0", 1, 40), ("s1", 3, 67)]
+        assert sorted((r.series, r.cells) for r in units.stretches(t, "island").where("foreign = 1").collect()) == [("s0", 40), ("s1", 67)]
+
+
+def test_a_source_that_only_writes_thousands(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", 0, i, i, float(round(10 ** rng.normal(4.9, 0.2))), None) for i in range(300)] + [("b", 0, i, 1000 + i, float(round(10 ** rng.normal(1.9, 0.2))), None) for i in range(100)]
+    got = {(r.series, r.at): r.unit for r in units.segment(spark.createDataFrame(rows, CELLS), PRICES).collect()}
+    assert got == {(r[0], r[2]): 2 * (r[0] == "b") for r in rows}
+
+
+def test_planted_shifts_of_stretches_match_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        costs = rng.choice([0.0, 1.0, 4.0, 9.0], (8, 3))
+        starts, sums = units.runs(costs)
+        assert np.allclose(sums.sum(0), costs.sum(0)) and starts[0] == 0
+        enter = units.entering(3, 3.0, 0)
+        total = lambda p: sum(costs[i, u] for i, u in enumerate(p)) + enter[p[0]] + sum(enter[b] for a, b in itertools.pairwise(p) if a != b)  # noqa: B023, E731
+        assert total(units.best_path(costs, enter)) == pytest.approx(min(map(total, itertools.product(range(3), repeat=8))))
 
 
 def test_rules(spark):
