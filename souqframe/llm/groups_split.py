@@ -8,16 +8,19 @@ first. Components then go to the splits by cumulative weight.
 
 Defined results: records without any key are components of their own; an empty table gives an empty
 result; a record given twice under one id is one record. Components heavier than ``heavy`` of
-all rows (at most 1/heavy of them) are placed first, the rest in seeded random order, so a share
-is missed by at most half the weight of the component at its border. Extra columns are ignored.
+all rows (at most 1/heavy of them) are dealt first: in seeded order, each to a split drawn by the shares among those that
+still have room for it (the emptiest if none has), so a heavy component may land in any split. The rest fills what is
+left of each share in seeded order, so a share is missed by at most half the weight of the component at its border.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from souqframe.operators.running import running_sum
 from souqframe.session import Workspace
 
@@ -93,22 +96,50 @@ def components(records: DataFrame, id_column: str, keys: list[Column]) -> DataFr
     return found.select("record_id", F.coalesce("root", "anchor").alias("component"))
 
 
+def deal(heavy: list[tuple[bytes, int]], shares: dict[str, float], total: int, seed: int) -> dict[bytes, str]:
+    """A split for each heavy component, in seeded order, by the shares among the splits with room."""
+    room = {k: v * total for k, v in shares.items()}
+    toss = lambda c: int.from_bytes(hashlib.md5(bytes([seed % 256]) + bytes(c)).digest()[:8]) / 2**64
+    out = {}
+    for c, w in sorted(heavy, key=lambda x: (toss(bytes(x[0]) + b"order"), bytes(x[0]))):
+        fits = [k for k in shares if room[k] >= w] or [max(room, key=lambda k: (room[k], k))]
+        at, u = 0.0, toss(c) * sum(shares[k] for k in fits)
+        for k in fits:
+            at += shares[k]
+            if u <= at:
+                break
+        out[bytes(c)] = k
+        room[k] -= w
+    return out
+
+
 def assign(weights: DataFrame, shares: dict[str, float], seed: int = 17, heavy: float = 0.001) -> DataFrame:
-    """``component, weight`` -> ``component, weight, split`` by cumulative weight."""
+    """``component BINARY, weight`` -> ``component, weight, split`` by cumulative weight."""
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("t")).first().t
-    names, borders, acc = list(shares), [], 0.0
     whole = sum(shares.values())
+    shares = {k: v / whole for k, v in shares.items()}
+    # at most 1/heavy rows
+    big = [(bytes(r.component), r.weight) for r in weights.where(F.col("weight") > heavy * total).collect()]
+    dealt = deal(big, shares, total, seed)
+    used = dict.fromkeys(shares, 0)
+    for c, w in big:
+        used[dealt[c]] += w
+    left = {k: max(v * total - used[k], 0) for k, v in shares.items()}
+    names, borders, acc, rest = list(shares), [], 0.0, max(sum(left.values()), 1e-9)
     for n in names:
-        acc += shares[n] / whole
+        acc += left[n] / rest
         borders.append(acc)
-    # the heavy ones get the lowest orders, heaviest first; there are at most 1/heavy of them
-    order = F.when(F.col("weight") > heavy * total, F.lit(-(1 << 63)).cast("bigint") + (F.lit(total) - F.col("weight")) * 4096 + F.abs(F.xxhash64("component") % 4096)).otherwise(F.abs(F.xxhash64(F.lit(seed), "component") % (1 << 62)))
-    ranked = running_sum(weights.withColumn("_order", order.cast("bigint")).withColumn("_all", F.lit(0)), ["_all"], "_order", "weight", "_upto", tie=["component"])
-    middle = (F.col("_upto") - F.col("weight") / 2) / F.lit(max(total, 1))
+    small = weights.where(F.col("weight") <= heavy * total)
+    ranked = running_sum(small.withColumn("_order", F.xxhash64(F.lit(seed), "component")).withColumn("_all", F.lit(0)), ["_all"], "_order", "weight", "_upto", tie=["component"])
+    middle = (F.col("_upto") - F.col("weight") / 2) / F.lit(max(total - sum(used.values()), 1))
     label = F.lit(names[-1])
     for n, b in reversed(list(zip(names[:-1], borders[:-1], strict=True))):
         label = F.when(middle <= b, n).otherwise(label)
-    return ranked.select("component", "weight", label.alias("split"))
+    placed = ranked.select("component", "weight", label.alias("split"))
+    if not big:
+        return placed
+    rows = [(bytearray(c), w, dealt[c]) for c, w in big]
+    return placed.unionByName(weights.sparkSession.createDataFrame(rows, "component binary, weight bigint, split string"))
 
 
 def grouped_split(records: DataFrame, id_column: str, keys: list[Column], shares: dict[str, float], seed: int = 17) -> DataFrame:

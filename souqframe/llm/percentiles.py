@@ -45,19 +45,20 @@ def merge(summaries: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _proposals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The weighted median of the partition's candidates for each target."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    d = pd.concat(parts, ignore_index=True).sort_values(["target", "value"], kind="stable")
-    target, n = d["target"].to_numpy(), d["n"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-    ends = np.r_[starts[1:], len(d)]
-    upto = np.cumsum(n)
-    base = np.r_[0, upto][starts]
-    total = upto[ends - 1] - base
-    at = np.searchsorted(upto, base + (total + 1) // 2)
-    yield pd.DataFrame({"target": target[starts], "value": d["value"].to_numpy()[at], "n": total})
+    """The weighted median of each batch's candidates for each target, so no task holds more than a batch: the weighted median
+    of batch medians has at least a quarter of the candidates on either side, whatever the batches."""
+    for d in batches:
+        if not len(d):
+            continue
+        d = d.sort_values(["target", "value"], kind="stable")
+        target, n = d["target"].to_numpy(), d["n"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        ends = np.r_[starts[1:], len(d)]
+        upto = np.cumsum(n)
+        base = np.r_[0, upto][starts]
+        total = upto[ends - 1] - base
+        at = np.searchsorted(upto, base + (total + 1) // 2)
+        yield pd.DataFrame({"target": target[starts], "value": d["value"].to_numpy()[at], "n": total})
 
 
 def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> DataFrame:
@@ -76,7 +77,7 @@ def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> D
     data = ws.stage(summary.alias("s").join(groups.alias("g"), on).select("g.gid", "s.value", "s.n"), "values")
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(x)).alias("quantile")) for i, x in enumerate(quantiles)]))
     targets = groups.select("gid", "n_values", q.alias("q")).select("gid", "q.qi", "q.quantile", "n_values", F.greatest(F.ceil(F.col("q.quantile") * F.col("n_values")), F.lit(1)).cast("bigint").alias("rank"))
-    active, wanted = ws.stage_counted(targets.select((F.col("gid") * 1000 + F.col("qi")).alias("target"), "gid", "rank", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("rest")), "targets")
+    active, wanted = ws.stage_counted(targets.select((F.col("gid") * len(quantiles) + F.col("qi")).alias("target"), "gid", "rank", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("rest")), "targets")
     found: list[DataFrame] = []
     rounds = 0
     while wanted:
@@ -84,7 +85,7 @@ def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> D
         medians = cand.select("target", "value", "n").mapInPandas(_proposals, "target bigint, value double, n bigint")
         w = Window.partitionBy("target").orderBy("value")
         pivots = (
-            medians.withColumn("upto", F.sum("n").over(w))
+            medians.groupBy("target", "value").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w))
             .withColumn("all", F.sum("n").over(Window.partitionBy("target")))
             .where("upto * 2 >= all").groupBy("target").agg(F.min("value").alias("pivot"))
         )
@@ -109,5 +110,5 @@ def multi_select(summary: DataFrame, by: list[str], quantiles: list[float]) -> D
     answers = found[0] if found else active.select("target", F.lit(None).cast("double").alias("value"))
     for f in found[1:]:
         answers = answers.unionByName(f)
-    asked = targets.withColumn("target", F.col("gid") * 1000 + F.col("qi"))
+    asked = targets.withColumn("target", F.col("gid") * len(quantiles) + F.col("qi"))
     return asked.join(answers, "target").join(groups.select("gid", *by), "gid").select(*by, "quantile", "value", "rank", "n_values")

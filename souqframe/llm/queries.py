@@ -126,21 +126,47 @@ def p7_fill_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sizes(spark, sf), packs), packs)
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list]:
-    targets = read_table(spark, sf, "mix_targets").collect()
+#: The domain of each source (parameter of the mixture; others form a domain of their own).
+DOMAINS = {
+    "market": ("ad_text", "shop_page", "price_bulletin", "catalog_dump"),
+    "talk": ("forum_thread", "chat_export", "review_blog", "seller_faq"),
+    "technical": ("spec_sheet", "repair_notes", "user_manual"),
+}
+#: Share of all there is (repeats included) that the large mixture asks for: more than keeps every share.
+LARGE = 0.8
+
+
+def _mixed(spark: SparkSession, sf: str, share_of_supply: float | None = None) -> tuple[DataFrame, DataFrame, list, list]:
+    targets = read_table(spark, sf, "mix_targets").where("source IS NOT NULL AND target_share IS NOT NULL").collect()
+    domain_of = {s: d for d, names in DOMAINS.items() for s in names}
+    domain = F.coalesce(*[F.when(F.col("source").isin(*names), F.lit(d)) for d, names in DOMAINS.items()], F.lit("other")).alias("domain")
     language = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("und")).alias("language")
-    sizes = _sizes(spark, sf, "source", "lang").select("doc_id", "source", language, "n_tokens")
-    drawn, _ = mixing.mix(sizes, ["source", "language"], {(r.source,): r.target_share for r in targets}, {r.source: r.max_repeats for r in targets}, "source")
-    return drawn, sizes, targets
+    sizes = _sizes(spark, sf, "source", "lang").select("doc_id", domain, "source", language, "n_tokens")
+    weights = {(domain_of.get(r.source, "other"), r.source): r.target_share for r in targets}
+    repeats = {r.source: r.max_repeats for r in targets}
+    drawn, plan = mixing.mix(sizes, ["domain", "source", "language"], weights, repeats, "source", share_of_supply=share_of_supply)
+    return drawn, sizes, targets, plan
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf)[0]
+    return _mixed(spark, sf)[0].select("doc_id", "source", "language", "n_tokens", "repeats")
+
+
+def p8_large_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture larger than keeps every share: per node of the tree what its share came to, what it has, what it was given after
+    shortages went to siblings first and up only then, and what was drawn."""
+    drawn, _, _, plan = _mixed(spark, sf, LARGE)
+    rows = [(p[0], p[1] if len(p) > 1 else None, share, wanted, supply, budget, max(wanted - supply, 0.0), max(budget - wanted, 0.0)) for p, share, wanted, supply, budget in plan]
+    nodes = spark.createDataFrame(rows, "domain string, source string, share_of_parent double, wanted double, supply double, budget double, shortage double, taken_over double")
+    got = drawn.withColumn("tokens", F.col("n_tokens") * F.col("repeats"))
+    per = got.groupBy("domain", "source").agg(F.sum("tokens").alias("drawn")).unionByName(got.groupBy("domain").agg(F.sum("tokens").alias("drawn")).withColumn("source", F.lit(None).cast("string")))
+    same = (nodes["domain"] == per["domain"]) & nodes["source"].eqNullSafe(per["source"])
+    return nodes.join(per, same, "left").select(nodes["domain"], nodes["source"], *nodes.columns[2:], F.coalesce("drawn", F.lit(0)).alias("drawn"))
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached share of every source, targeted or seen."""
-    drawn, sizes, targets = _mixed(spark, sf)
+    drawn, sizes, targets, _ = _mixed(spark, sf)
     want = spark.createDataFrame([(r.source, r.target_share, r.max_repeats) for r in targets], "source string, target_share double, max_repeats int")
     seen = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"))
@@ -175,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill_report": p7_fill_report,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_large_budgets": p8_large_budgets,
     "p9_found": p9_found,
     "p9_quality": p9_quality,
 }
