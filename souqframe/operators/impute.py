@@ -24,26 +24,32 @@ occur; ids need not be unique.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souqframe.operators.ranking import weighted_quantile
 from souqframe.session import Workspace
 
 #: Rows looked at for each starting prototype.
 STARTS = 32
+#: The code of a missing category; what is there has the 64-bit hash of its text, however many categories there are.
+SEEN_NOT = -(1 << 63)
+#: Category counts a fitting task holds before it passes them on.
+HELD = 1 << 18
 
 STEPS = ("group_cluster", "group", "parent_cluster", "cluster", "all")
 
 
 @dataclass(frozen=True)
 class Prototypes:
-    """``numbers``: k x n means in standard units; ``codes``: k x c category codes."""
+    """``numbers``: k x n means in standard units; ``codes``: k x c category codes, ``SEEN_NOT`` where a cluster has none."""
 
     numbers: np.ndarray
     codes: np.ndarray
@@ -63,7 +69,7 @@ class Prototypes:
         seen = there.sum(1)
         for j in range(codes.shape[1]):
             c = codes[:, j]
-            known = c >= 0
+            known = c != SEEN_NOT
             d += self.gamma * ((c[:, None] != self.codes[None, :, j]) & known[:, None])
             seen = seen + known
         d /= np.maximum(seen, 1)[:, None]
@@ -76,17 +82,17 @@ def _arrays(b: pd.DataFrame, numbers: list[str], cats: list[str]) -> tuple[np.nd
     return b[numbers].to_numpy(dtype=float, na_value=np.nan), b[cats].to_numpy(dtype=np.int64)
 
 
-def fit(rows: DataFrame, numbers: list[str], cats: list[str], widths: list[int], k: int, passes: int, gamma: float, seed: int) -> Prototypes:
-    """``cats`` hold codes 0..width-1, -1 for missing. ``passes`` full passes over all rows follow the start;
+def fit(rows: DataFrame, numbers: list[str], cats: list[str], k: int, passes: int, gamma: float, seed: int) -> Prototypes:
+    """``cats`` hold 64-bit codes. Up to ``passes`` full passes over all rows follow the start, fewer if nothing moves any more;
     an emptied cluster keeps its prototype."""
     stats = rows.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(numbers))], dtype=float)
     scale = np.array([stats[f"s_{i}"] or 1.0 for i in range(len(numbers))], dtype=float)
-    # k rows far from each other among STARTS * k of lowest seeded hash, the most complete first
-    gaps = sum((F.col(c).isNull().cast("int") for c in numbers), F.lit(0)) + sum(((F.col(c) < 0).cast("int") for c in cats), F.lit(0))
-    start = rows.select(*numbers, *cats).distinct().orderBy(gaps, F.xxhash64(F.lit(seed), *numbers, *cats), *cats).limit(STARTS * k).toPandas()
+    # k rows far from each other among STARTS * k of lowest seeded hash, the most complete first: every task keeps its lowest
+    gaps = sum((F.col(c).isNull().cast("int") for c in numbers), F.lit(0)) + sum(((F.col(c) == SEEN_NOT).cast("int") for c in cats), F.lit(0))
+    start = rows.select(gaps.alias("_gaps"), F.xxhash64(F.lit(seed), "id", *numbers, *cats).alias("_h"), *numbers, *cats).orderBy("_gaps", "_h").limit(STARTS * k).toPandas().drop_duplicates([*numbers, *cats])
     if not len(start):
-        return Prototypes(np.zeros((1, len(numbers))), np.full((1, len(cats)), -2), mean, scale, gamma)
+        return Prototypes(np.zeros((1, len(numbers))), np.full((1, len(cats)), SEEN_NOT), mean, scale, gamma)
     x, c = _arrays(start, numbers, cats)
     z = np.nan_to_num((x - mean) / scale)
     chosen, gap = [0], np.full(len(z), np.inf)
@@ -95,15 +101,21 @@ def fit(rows: DataFrame, numbers: list[str], cats: list[str], widths: list[int],
         gap = np.minimum(gap, ((z - z[last]) ** 2).sum(1) + gamma * (c != c[last]).sum(1))
         chosen.append(int(gap.argmax()))
     protos = Prototypes(z[chosen], c[chosen], mean, scale, gamma)
-    n, total = len(numbers), int(sum(widths))
-    offset = np.r_[0, np.cumsum(widths)[:-1]].astype(int) if widths else np.zeros(0, int)
+    n = len(numbers)
 
     for _ in range(passes):
         held = protos
 
         def sums(batches: Iterator[pd.DataFrame], held: Prototypes = held) -> Iterator[pd.DataFrame]:
+            """Per cluster: sums and counts of each number (part 0..n-1), and counts of each category (part n..)."""
             kk = len(held.numbers)
-            s, w, h = np.zeros((kk, n)), np.zeros((kk, n)), np.zeros((kk, max(total, 1)))
+            s, w = np.zeros((kk, n)), np.zeros((kk, n))
+            counts: Counter[tuple[int, int, int]] = Counter()
+
+            def told() -> pd.DataFrame:
+                rows = [(i, n + j, code, 0.0, float(m)) for (i, j, code), m in counts.items()]
+                return pd.DataFrame(rows, columns=["cluster", "part", "code", "s", "w"])
+
             for b in batches:
                 x, c = _arrays(b, numbers, cats)
                 at = held.nearest(x, c)
@@ -114,22 +126,29 @@ def fit(rows: DataFrame, numbers: list[str], cats: list[str], widths: list[int],
                     s[:, j] += np.bincount(at[seen], z[seen, j], kk)
                     w[:, j] += np.bincount(at[seen], minlength=kk)
                 for j in range(len(cats)):
-                    seen = ok & (c[:, j] >= 0)
-                    h[:, offset[j] : offset[j] + widths[j]] += np.bincount(at[seen] * widths[j] + c[seen, j], minlength=kk * widths[j]).reshape(kk, widths[j])
-            for i in range(kk):
-                yield pd.DataFrame({"cluster": [i], "s": [s[i].tolist()], "w": [w[i].tolist()], "h": [h[i].tolist()]})
-
-        parts = rows.select(*numbers, *cats).mapInPandas(sums, "cluster int, s array<double>, w array<double>, h array<double>")
-        # one row per partition and cluster; their sums are k rows of fixed width
-        added = parts.groupBy("cluster").agg(*[F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(m)]).alias(c) for c, m in (("s", n), ("w", n), ("h", max(total, 1)))]).collect()
+                    seen = ok & (c[:, j] != SEEN_NOT)
+                    codes, where = np.unique(c[seen, j], return_inverse=True)
+                    per = np.bincount(at[seen] * len(codes) + where, minlength=kk * len(codes)) if len(codes) else np.zeros(0, int)
+                    for p in np.flatnonzero(per):
+                        counts[int(p // len(codes)), j, int(codes[p % len(codes)])] += int(per[p])
+                if len(counts) > HELD:
+                    yield told()
+                    counts.clear()
+            if counts:
+                yield told()
+            i, j = np.indices((kk, n)).reshape(2, -1)
+            yield pd.DataFrame({"cluster": i, "part": j, "code": 0, "s": s.ravel(), "w": w.ravel()})
+
+        parts = rows.select(*numbers, *cats).mapInPandas(sums, "cluster int, part int, code bigint, s double, w double")
+        added = parts.groupBy("cluster", "part", "code").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+        # the sums of each number and the most frequent category: k rows a feature
+        best = added.groupBy("cluster", "part").agg(F.max_by(F.struct("code", "s", "w"), F.struct("w", -F.col("code"))).alias("b")).select("cluster", "part", "b.*").collect()
         numbers_now, codes_now = protos.numbers.copy(), protos.codes.copy()
-        for r in added:
-            s, w, h = np.array(r.s), np.array(r.w), np.array(r.h)
-            numbers_now[r.cluster] = np.where(w > 0, s / np.maximum(w, 1), numbers_now[r.cluster])
-            for j in range(len(cats)):
-                part = h[offset[j] : offset[j] + widths[j]]
-                if part.sum() > 0:
-                    codes_now[r.cluster, j] = int(part.argmax())
+        for r in best:
+            if r.w > 0 and r.part < n:
+                numbers_now[r.cluster, r.part] = r.s / r.w
+            elif r.w > 0:
+                codes_now[r.cluster, r.part - n] = r.code
         moved = np.abs(numbers_now - protos.numbers).max(initial=0) > 1e-3 or (codes_now != protos.codes).any()
         protos = Prototypes(numbers_now, codes_now, mean, scale, gamma)
         if not moved:
@@ -150,38 +169,18 @@ def assign(rows: DataFrame, protos: Prototypes, numbers: list[str], cats: list[s
     return src.mapInPandas(place, schema)
 
 
-#: Categories beyond so many share one code, so that a pass's partial sums keep a fixed width.
-MAX_CATEGORIES = 64
-
-
-def category_codes(df: DataFrame, columns: dict[str, Column]) -> tuple[dict[str, Column], list[int]]:
-    """A code expression per categorical feature: its most frequent values by rank, the rest as one."""
-    exprs, widths = {}, []
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), c.cast("string").alias("v")) for n, c in columns.items()]))
-    counted = df.select(kinds.alias("k")).select("k.*").where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "v"))
-    top: dict[str, list[str]] = {n: [] for n in columns}
-    for r in counted.withColumn("r", rank).where(F.col("r") < MAX_CATEGORIES).orderBy("f", "r").collect():
-        top[r.f].append(r.v)
-    for n, c in columns.items():
-        known = F.create_map(*[x for i, v in enumerate(top[n]) for x in (F.lit(v), F.lit(i))]) if top[n] else None
-        rest = F.lit(len(top[n]))
-        code = rest if known is None else F.coalesce(F.element_at(known, c.cast("string")), rest)
-        exprs[n] = F.when(c.isNull(), F.lit(-1)).otherwise(code).cast("int")
-        widths.append(len(top[n]) + 1)
-    return exprs, widths
+def category_code(c: Column) -> Column:
+    return F.when(c.isNull(), F.lit(SEEN_NOT)).otherwise(F.xxhash64(c.cast("string")))
 
 
 def _pick(counts: DataFrame, by: list[str], numeric: bool, name: str) -> DataFrame:
     """Lower median or mode of ``value`` with counts ``n`` per ``by``."""
     per = counts.groupBy(*by, "value").agg(F.sum("n").alias("n"))
     if numeric:
-        w = Window.partitionBy(*by).orderBy("value")
-        upto = F.sum("n").over(w)
-        whole = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(0)))
-        got = per.select(*by, "value", upto.alias("_u"), whole.alias("_w")).where("_u * 2 >= _w")
-        return got.groupBy(*by).agg(F.min("value").alias(name))
-    return per.groupBy(*by).agg(F.max("n").alias("_n")).join(per.withColumnRenamed("n", "_n"), [*by, "_n"]).groupBy(*by).agg(F.min("value").alias(name))
+        return weighted_quantile(per, by, "value", "n", 0.5, name)
+    # the most frequent, of equally frequent ones the smallest
+    top = F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))["value"].alias(name)
+    return per.groupBy(*by).agg(top) if by else per.agg(top)
 
 
 def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]], group: Column, parent: Column, numbers: dict[str, Column], cats: dict[str, Column], k: int = 12, passes: int = 5, gamma: float = 0.6, seed: int = 17) -> DataFrame:
@@ -191,7 +190,7 @@ def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]],
     filled one. Numeric targets are written as DOUBLE text.
     """
     ws = Workspace(df.sparkSession)
-    codes, widths = category_codes(df, cats)
+    codes = {c: category_code(e) for c, e in cats.items()}
     number_names, cat_names = [f"n{i}" for i in range(len(numbers))], [f"c{i}" for i in range(len(cats))]
     target_names = [f"t{i}" for i in range(len(targets))]
     rows = ws.stage(
@@ -203,7 +202,7 @@ def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]],
         ),
         "features",
     )
-    protos = fit(rows, number_names, cat_names, widths, k, passes, gamma, seed)
+    protos = fit(rows, number_names, cat_names, k, passes, gamma, seed)
     placed = ws.stage(assign(rows, protos, number_names, cat_names, ["id", "grp", "par", *target_names]), "placed")
     ws.drop(rows)
     out: DataFrame | None = None
