@@ -140,26 +140,11 @@ def cpu_key(c: Column) -> Column:
     return F.coalesce(F.trim(t), F.lit(""))
 
 
-def cpu_family(c: Column) -> Column:
-    t = F.upper(c)
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(f)) for p, f in K.CPU_FAMILY_PATTERNS], F.lit("UNKNOWN"))
-
-
-def cpu_maker(c: Column) -> Column:
-    t = F.upper(c)
-    return (
-        F.when(t.rlike(r"APPLE|\bM[1-4]\b"), "APPLE")
-        .when(t.rlike("AMD|RYZEN|ATHLON"), "AMD")
-        .when(t.rlike(r"INTEL|\bI[3579]\b|CELERON|PENTIUM|XEON"), "INTEL")
-        .otherwise("OTHER")
-    )
-
-
 def model_number(c: Column) -> Column:
     """Digits and suffix of a processor's model: ``struct<number BIGINT, suffix STRING>``."""
     t = F.upper(F.regexp_replace(c, r"\s*@.*$", ""))
-    n = F.nullif(F.regexp_extract(t, r"(\d{4,5})([A-Z]{0,2}\d?)\b", 1), F.lit(""))
-    return F.struct(n.try_cast("bigint").alias("number"), F.when(n.isNotNull(), F.regexp_extract(t, r"(\d{4,5})([A-Z]{0,2}\d?)\b", 2)).alias("suffix"))
+    n = F.nullif(F.regexp_extract(t, r"(\d{3,5})([A-Z]{0,2}\d?)\b", 1), F.lit(""))
+    return F.struct(n.try_cast("bigint").alias("number"), F.when(n.isNotNull(), F.regexp_extract(t, r"(\d{3,5})([A-Z]{0,2}\d?)\b", 2)).alias("suffix"))
 
 
 def generation(number: Column, lowest: int = 1, highest: int = 14) -> Column:

@@ -1,4 +1,4 @@
-"""Density clustering, silhouettes, consensus of labelings. Quadratic parts refuse large tables."""
+"""Silhouettes, density clustering, consensus of labelings. The latter two refuse large tables."""
 
 from __future__ import annotations
 
@@ -7,35 +7,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souqframe.operators.outliers import _matrix
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0))
+from souqframe.operators.outliers import _distances, _vectors, block_pairs
 
 
 def silhouette(df: DataFrame, id_column: str, vector: str, label: str) -> float | None:
-    """The mean Euclidean silhouette; NULL with fewer than two labels. Rows go against the table in blocks."""
-    ids, x = _matrix(df, id_column, vector)
-    labels = df.select(id_column, label).where(F.col(vector).isNotNull()).toPandas().sort_values(id_column)[label].to_numpy()
-    names, at = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
+    """The mean Euclidean silhouette; NULL with fewer than two labels. Blocks of rows meet blocks of rows on the executors and
+    leave one sum per row and label."""
+    v = df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("l"))
+    sizes = v.groupBy("l").agg(F.count("*").alias("size"))
+    if sizes.limit(2).count() < 2:
         return None
-    member = np.eye(len(names))[at]
-    size = member.sum(0)
-    total = 0.0
-    for s in range(0, len(x), 2048):
-        block = slice(s, s + 2048)
-        sums = _distances(x[block], x) @ member
-        own = at[block]
-        i = np.arange(len(own))
-        inside = sums[i, own] / np.maximum(size[own] - 1, 1)
-        other = sums / size
-        other[i, own] = np.inf
-        outside = other.min(1)
-        value = (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-12)
-        total += float(np.where(size[own] > 1, value, 0.0).sum())
-    return total / len(x)
+
+    def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "own": [], "l": [], "s": []})
+        names, at = np.unique(b["l"].to_numpy(dtype=str), return_inverse=True)
+        sums = _distances(_vectors(a, "v"), _vectors(b, "v")) @ np.eye(len(names))[at]
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "own": np.repeat(a["l"].to_numpy(), len(names)), "l": np.tile(names, len(a)), "s": sums.ravel()})
+
+    sums = block_pairs(v, v, add, f"id {v.schema['id'].dataType.simpleString()}, own string, l string, s double").groupBy("id", "own", "l").agg(F.sum("s").alias("s"))
+    means = sums.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "l")
+    own = F.col("own") == F.col("l")
+    per = means.groupBy("id").agg(F.max(F.when(own, F.col("s") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"), F.max(F.when(own, F.col("size"))).alias("n"), F.min(F.when(~own, F.col("s") / F.col("size"))).alias("b"))
+    value = F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))).otherwise(0.0)
+    return per.agg(F.avg(value).alias("s")).first().s
+
+
+#: Density clustering and consensus are done on the driver and refuse more rows.
+MAX_ROWS = 20_000
+
+
+def _matrix(df: DataFrame, id_column: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = df.select(id_column, vector).where(F.col(vector).isNotNull()).limit(MAX_ROWS + 1).toPandas()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows")
+    rows = rows.sort_values(id_column)
+    return rows[id_column].to_numpy(), np.array(rows[vector].tolist(), dtype=float).reshape(len(rows), -1)
 
 
 def dbscan(df: DataFrame, id_column: str, vector: str, eps: float, least: int) -> DataFrame:

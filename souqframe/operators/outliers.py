@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souqframe.operators.ranking import cumulative_counts, hash_order
+from souqframe.operators.ranking import cumulative_counts
 from souqframe.operators.text_classes import BROADCAST_ENTRIES
+from souqframe.session import Workspace
 
 
 def tail_scores(df: DataFrame, id_column: str, dims: list[str]) -> DataFrame:
@@ -65,11 +66,15 @@ def isolation_scores(df: DataFrame, id_column: str, dims: list[str], trees: int
     method's own definition), every row is scored. Missing values take the dimension's median."""
     med = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in dims]).first()
     full = df.select(id_column, *[F.coalesce(c, F.lit(float(med[c]))).alias(c) for c in dims])
-    rows = full.orderBy(hash_order(F.col(id_column), F.lit(seed)), id_column).limit(trees * sample).toPandas()
-    x = rows[dims].to_numpy(dtype=float)
     rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    forest = [_grow(x[rng.choice(len(x), size, replace=False)], int(np.ceil(np.log2(max(size, 2)))), rng) for _ in range(trees)] if len(x) else []
+    # a sample of its own for each tree: about 4 * sample rows by the tree's hash, of which the lowest are kept
+    n = full.count()
+    each = full.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "_tree", F.col(id_column), *dims))
+    few = each.where(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.lit(int(min(4 * sample / max(n, 1), 1.0) * (1 << 20)) + 1))
+    kept = few.withColumn("_r", F.row_number().over(Window.partitionBy("_tree").orderBy(F.pmod(F.col("_h"), F.lit(1 << 20)), "_h"))).where(F.col("_r") <= sample).select("_tree", "_h", *dims).toPandas()
+    groups = [g.sort_values("_h")[dims].to_numpy(dtype=float) for _, g in kept.groupby("_tree", sort=True)]
+    size = min(sample, n)
+    forest = [_grow(x, int(np.ceil(np.log2(max(size, 2)))), rng) for x in groups]
     norm = max(_rest(size), 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,65 +91,97 @@ def isolation_scores(df: DataFrame, id_column: str, dims: list[str], trees: int
     return full.mapInPandas(score, schema)
 
 
-# -- neighbours -----------------------------------------------------------------------------------
+# -- neighbours: every row against all rows, block by block on the executors ----------------------
 
-#: Rows that neighbour and distance operators accept: they are quadratic by definition.
-MAX_QUADRATIC = 20_000
+#: Rows of a block: a pair of blocks is one small matrix.
+BLOCK = 4096
 
 
-def _matrix(df: DataFrame, id_column: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(id_column, vector).where(F.col(vector).isNotNull()).limit(MAX_QUADRATIC + 1).toPandas()
-    if len(rows) > MAX_QUADRATIC:
-        raise ValueError(f"more than {MAX_QUADRATIC} rows")
-    rows = rows.sort_values(id_column)
-    return rows[id_column].to_numpy(), np.array(rows[vector].tolist(), dtype=float).reshape(len(rows), -1)
+def block_pairs(queries: DataFrame, rows: DataFrame, compare, schema: T.StructType | str, block: int = BLOCK) -> DataFrame:
+    """``compare(query block, row block)`` for every pair of blocks, as pandas frames, with no block larger than about ``block``.
+
+    Both sides are cut by hash; the work is every query against every row, the memory of a task one pair of blocks."""
+    nq, nr = max(-(-queries.count() // block), 1), max(-(-rows.count() // block), 1)
+
+    def cut(df: DataFrame, n: int, m: int, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*[c for c in df.columns if c in rows.columns and c in queries.columns][:1]), F.lit(n)).cast("int")
+        return df.withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    left, right = cut(queries, nq, nr, "_i", "_j").groupBy("_i", "_j"), cut(rows, nr, nq, "_j", "_i").groupBy("_i", "_j")
+    return left.cogroup(right).applyInPandas(compare, schema)
+
+
+def _vectors(d: pd.DataFrame, vector: str) -> np.ndarray:
+    return np.array(d[vector].tolist(), dtype=float).reshape(len(d), -1)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0))
+
+
+def nearest_neighbours(df: DataFrame, id_column: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """``id, neighbour, distance``: the exact ``k`` nearest others of every row; ties go to the smaller id."""
+    v = df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        b = b.sort_values("id")
+        d = _distances(_vectors(a, "v"), _vectors(b, "v"))
+        ids = b["id"].to_numpy()
+        d[a["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), at.shape[1]), "neighbour": ids[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
+        return out[np.isfinite(out["distance"])]
+
+    kind = v.schema["id"].dataType.simpleString()
+    pairs = block_pairs(v, v, near, f"id {kind}, neighbour {kind}, distance double", block)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # k rows a block and id
+    return pairs.withColumn("place", place).where(F.col("place") <= k).select(F.col("id").alias(id_column), "neighbour", "distance")
 
 
 def local_outlier_factor(df: DataFrame, id_column: str, vector: str, k: int = 35) -> DataFrame:
-    """``id, lof`` by exact neighbours; rows go against the whole table in blocks. Refuses more than ``MAX_QUADRATIC`` rows."""
-    ids, x = _matrix(df, id_column, vector)
-    n = len(ids)
-    k = max(1, min(k, n - 1))
-
-    def near(block: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.sqrt(np.maximum((block**2).sum(1)[:, None] - 2 * block @ x.T + (x**2).sum(1)[None, :], 0))
-        d[np.arange(len(own)), own] = np.inf
+    """``id, lof`` by the exact ``k`` nearest neighbours (fewer if there are fewer rows). A single row has 1."""
+    ws = Workspace(df.sparkSession)
+    near = ws.stage(nearest_neighbours(df, id_column, vector, k).withColumnRenamed(id_column, "id"), "neighbours")
+    reach = near.groupBy("id").agg(F.max("distance").alias("reach")).withColumnRenamed("id", "neighbour")
+    density = near.join(reach, "neighbour").groupBy("id").agg((1 / F.greatest(F.avg(F.greatest("distance", "reach")), F.lit(1e-10))).alias("density"))
+    density = ws.stage(density, "density")
+    theirs = near.join(density.select(F.col("id").alias("neighbour"), F.col("density").alias("d2")), "neighbour").groupBy("id").agg(F.avg("d2").alias("around"))
+    known = density.join(theirs, "id").select("id", (F.col("around") / F.col("density")).alias("lof"))
+    return df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id")).join(known, "id", "left").select(F.col("id").alias(id_column), F.coalesce("lof", F.lit(1.0)).alias("lof"))
+
+
+def gower_nearest(rows: DataFrame, queries: DataFrame, id_column: str, numbers: list[str], cats: list[str], k: int, block: int = BLOCK) -> DataFrame:
+    """``id, neighbour, distance, place``: the ``k`` rows nearest to each query, itself left out, by the mean over features
+    seen on both sides of the range-scaled difference or mismatch; 1 where nothing is seen on both sides. Distances are
+    rounded to six digits, ties go to the smaller id."""
+    ends = rows.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numbers]).first()
+    widths = {c: ends[c] or 0.0 for c in numbers}
+    cols = [F.col(id_column).alias("id"), *[F.col(c).cast("double").alias(c) for c in numbers], *[F.xxhash64(c).alias(c) for c in cats], *[F.col(c).isNotNull().alias(f"_{c}") for c in cats]]
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        b = b.sort_values("id")
+        num, den = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+        for c in numbers:
+            x, y = a[c].to_numpy(dtype=float)[:, None], b[c].to_numpy(dtype=float)[None, :]
+            both = ~np.isnan(x) & ~np.isnan(y)
+            num += np.where(both, np.abs(x - y) / widths[c], 0) if widths[c] > 0 else 0
+            den += both
+        for c in cats:
+            both = a[f"_{c}"].to_numpy(bool)[:, None] & b[f"_{c}"].to_numpy(bool)[None, :]
+            num += both & (a[c].to_numpy()[:, None] != b[c].to_numpy()[None, :])
+            den += both
+        d = np.round(np.where(den > 0, num / np.maximum(den, 1), 1.0), 6)
+        ids = b["id"].to_numpy()
+        d[a["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return at, np.take_along_axis(d, at, 1)
-
-    if n <= 1:
-        return df.select(id_column, F.lit(1.0).alias("lof"))
-    blocks = [near(x[s : s + 2048], np.arange(s, min(s + 2048, n))) for s in range(0, n, 2048)]
-    at, dist = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-    reach = np.maximum(dist, dist[at, -1])
-    density = 1 / np.maximum(reach.mean(1), 1e-10)
-    lof = density[at].mean(1) / density
-    return df.sparkSession.createDataFrame(pd.DataFrame({id_column: ids, "lof": lof}))
-
-
-def gower_distances(df: DataFrame, id_column: str, numbers: list[str], cats: list[str]) -> DataFrame:
-    """``id_a, id_b, distance`` for a small table: mean over features seen on both sides of the range-scaled
-    difference or mismatch; 1 where nothing is seen on both sides."""
-    rows = df.select(id_column, *numbers, *cats).limit(2001).toPandas().sort_values(id_column)
-    if len(rows) > 2000:
-        raise ValueError("more than 2000 rows: take a sample first")
-    n = len(rows)
-    num, den = np.zeros((n, n)), np.zeros((n, n))
-    for c in numbers:
-        v = rows[c].to_numpy(dtype=float)
-        width = np.nanmax(v) - np.nanmin(v) if (~np.isnan(v)).any() else 0
-        seen = ~np.isnan(v)
-        both = seen[:, None] & seen[None, :]
-        diff = np.abs(v[:, None] - v[None, :]) / width if width > 0 else np.zeros((n, n))
-        num += np.where(both, diff, 0)
-        den += both
-    for c in cats:
-        v = rows[c].to_numpy()
-        seen = ~pd.isna(v)
-        both = seen[:, None] & seen[None, :]
-        num += both & (v[:, None] != v[None, :])
-        den += both
-    d = np.where(den > 0, num / np.maximum(den, 1), 1.0)
-    i, j = np.triu_indices(n, 1)
-    ids = rows[id_column].to_numpy()
-    return df.sparkSession.createDataFrame(pd.DataFrame({"id_a": ids[i], "id_b": ids[j], "distance": d[i, j]}), f"id_a {df.schema[id_column].dataType.simpleString()}, id_b {df.schema[id_column].dataType.simpleString()}, distance double")
+        out = pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), at.shape[1]), "neighbour": ids[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
+        return out[np.isfinite(out["distance"])]
+
+    kind = rows.schema[id_column].dataType.simpleString()
+    pairs = block_pairs(queries.select(*cols), rows.select(*cols), near, f"id {kind}, neighbour {kind}, distance double", block)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")).cast("int")
+    return pairs.withColumn("place", place).where(F.col("place") <= k).select(F.col("id").alias(id_column), "neighbour", "distance", "place")

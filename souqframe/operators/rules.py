@@ -67,12 +67,27 @@ def rules(itemsets: DataFrame, least_confidence: float, least_lift: float) -> Da
 def violations(baskets: DataFrame, id_column: str, items: str, mined: DataFrame) -> DataFrame:
     """Baskets that have all of an antecedent but not all of its consequent, with how often and the best confidence.
 
-    Rules are matched on their first antecedent item, so a basket meets only rules that may fire."""
+    Rules meet each distinct basket once, on their first antecedent item; what it breaks then goes to all rows that have it."""
     keyed = mined.select("antecedent", "consequent", "confidence", F.element_at("antecedent", 1).alias("_item"))
-    b = baskets.select(id_column, F.array_compact(F.col(items)).alias("_b")).distinct()
-    hit = b.select(id_column, "_b", F.explode("_b").alias("_item")).join(keyed, "_item").where((F.size(F.array_except("antecedent", "_b")) == 0) & (F.size(F.array_except("consequent", "_b")) > 0))
+    rows = baskets.select(id_column, F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("_b")).distinct()
+    kinds = rows.select("_b").distinct()
+    hit = kinds.select("_b", F.explode("_b").alias("_item")).join(keyed, "_item").where((F.size(F.array_except("antecedent", "_b")) == 0) & (F.size(F.array_except("consequent", "_b")) > 0))
     label = F.concat(F.array_join("antecedent", "+"), F.lit(" -> "), F.array_join("consequent", "+"))
-    return hit.groupBy(id_column).agg(F.count("*").alias("violations"), F.max("confidence").alias("best_confidence"), F.sort_array(F.collect_list(label)).alias("labels"))
+    broken = hit.groupBy("_b").agg(F.count("*").alias("violations"), F.max("confidence").alias("best_confidence"), F.sort_array(F.collect_list(label)).alias("labels"))
+    return rows.join(broken, "_b").drop("_b")
+
+
+def one_hot(baskets: DataFrame, id_column: str, items: str) -> DataFrame:
+    """``id`` and a 0/1 column per item that occurs, in order of name: the pivot names its columns first."""
+    names = [r.i for r in baskets.select(F.explode(items).alias("i")).where("i IS NOT NULL").distinct().orderBy("i").collect()]
+    return baskets.select(id_column, *[F.coalesce(F.array_contains(items, n), F.lit(False)).cast("int").alias(n) for n in names])
+
+
+def without(items: Column, prefixes: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> Column:
+    """Items but those that start with a prefix or bear a name."""
+    bad = lambda x: x.isin(*names) if names else F.lit(False)
+    starts = lambda x: F.coalesce(*[F.when(x.startswith(p), F.lit(True)) for p in prefixes], F.lit(False)) if prefixes else F.lit(False)
+    return F.filter(items, lambda x: ~(bad(x) | starts(x)))
 
 
 def parse_itemset(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from souqframe import constants as K
 from souqframe.functions import specs as S
 from souqframe.functions.scale import rescaled
+from souqframe.operators.text_classes import small
 from souqframe.plans.common import ADS, ads, r6
 from souqframe.session import read_table
 
@@ -95,14 +96,30 @@ def condition_ranks(spark, sf):
     return read_table(spark, sf, "listings").select("listing_id", S.condition_rank(c).alias("condition_rank"), c.isNull().cast("int").alias("condition_missing"))
 
 
+def family_words(spark, sf, table: str = "cpus", name: str = "name"):
+    """``token, maker, family``: the words a part list names its families by, the second of each name, lower case."""
+    w = F.split(F.trim(F.regexp_replace(name, r"\s*@.*$", "")), " ")
+    return read_table(spark, sf, table).where(F.col(name).isNotNull()).select(F.lower(w[1]).alias("token"), w[0].alias("maker"), F.concat_ws(" ", w[0], w[1]).alias("family")).distinct()
+
+
+def named_family(texts, column: str, words):
+    """Distinct texts with the maker and family whose word they contain; the first by name if there are several."""
+    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("token")
+    hits = texts.where(F.col(column).isNotNull()).select(column).distinct().select(column, token).join(small(words, "token", "family"), "token")
+    return hits.groupBy(column).agg(F.min(F.struct("family", "maker")).alias("f")).select(column, "f.family", "f.maker")
+
+
 def cpu_texts(spark, sf):
-    c = F.col("CPU")
+    """What a typed processor says: family and maker by the words of the part list, number and generation."""
+    ads, c = read_table(spark, sf, "listings").select("listing_id", "CPU"), F.col("CPU")
     n = S.model_number(c)
-    return read_table(spark, sf, "listings").select("listing_id", S.cpu_key(c).alias("cpu_key"), S.cpu_maker(c).alias("maker"), S.cpu_family(c).alias("family"), n["number"].alias("model_number"), S.generation(n["number"]).alias("generation"))
+    named = named_family(ads, "CPU", family_words(spark, sf))
+    return ads.join(small(named, "CPU"), "CPU", "left").select("listing_id", S.cpu_key(c).alias("cpu_key"), F.coalesce("maker", F.lit("OTHER")).alias("maker"), F.coalesce("family", F.lit("UNKNOWN")).alias("family"), n["number"].alias("model_number"), S.generation(n["number"]).alias("generation"))
 
 
-_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(upper(CPU), '{p}') THEN '{f}'" for p, f in K.CPU_FAMILY_PATTERNS) + " ELSE 'UNKNOWN' END"
-_MODEL = r"try_cast(nullif(regexp_extract(upper(regexp_replace(CPU, '\s*@.*$', '')), '(\d{4,5})([A-Z]{0,2}\d?)\b', 1), '') AS BIGINT)"
+FAMILY_SQL = r"""v AS (SELECT DISTINCT lower(w[2]) AS token, w[1] AS maker, w[1] || ' ' || w[2] AS family FROM (SELECT string_split(trim(regexp_replace({name}, '\s*@.*$', '')), ' ') AS w FROM {table} WHERE {name} IS NOT NULL)),
+fam AS (SELECT {text}, min(family) AS family, arg_min(maker, family) AS maker FROM (SELECT DISTINCT {text}, unnest(regexp_extract_all(lower({text}), '[\p{{L}}]+')) AS token FROM listings WHERE {text} IS NOT NULL) JOIN v USING (token) GROUP BY 1)"""
+_MODEL = r"try_cast(nullif(regexp_extract(upper(regexp_replace(CPU, '\s*@.*$', '')), '(\d{3,5})([A-Z]{0,2}\d?)\b', 1), '') AS BIGINT)"
 
 
 def numeric_marks(spark, sf):
@@ -209,7 +226,7 @@ ORACLE = {
     "screen_snap": f"WITH s AS (SELECT listing_id, CASE WHEN SCREEN_SIZE_SNAPPED BETWEEN 10 AND 20 THEN SCREEN_SIZE_SNAPPED END AS s FROM listings) SELECT listing_id, s AS screen, CASE WHEN s IS NOT NULL THEN CASE WHEN list_min({_OPTIONS}).d <= 0.3 THEN list_min({_OPTIONS}).s ELSE s END END AS snapped FROM s",
     "resolution_tiers": f"WITH l AS (SELECT listing_id, regexp_replace(lower(trim(SCREEN_RESOLUTION_STD)), '\\s+', '', 'g') AS r, CASE WHEN SCREEN_SIZE_SNAPPED BETWEEN 10 AND 20 THEN SCREEN_SIZE_SNAPPED END AS s FROM listings), t AS (SELECT listing_id, s, {_TIER} AS tier FROM l) SELECT listing_id, tier, {_map_sql('tier', K.RESOLUTION_RANK)} AS tier_rank, CAST({_map_sql('tier', {t: w * h for t, (w, h) in K.RESOLUTION_PIXELS.items()})} AS BIGINT) AS pixels, round({_map_sql('tier', {t: (w * w + h * h) ** 0.5 for t, (w, h) in K.RESOLUTION_PIXELS.items()})} / s, 6) AS ppi FROM t",
     "condition_ranks": f"SELECT listing_id, CAST({_map_sql('upper(trim(spec_Etat))', K.CONDITION_RANK)} AS DOUBLE) AS condition_rank, CAST(spec_Etat IS NULL AS INT) AS condition_missing FROM listings",
-    "cpu_texts": rf"SELECT listing_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(lower(CPU), '\s*@.*$', ''), 'intel|processor|core|cpu', '', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS cpu_key, CASE WHEN regexp_matches(upper(CPU), 'APPLE|\bM[1-4]\b') THEN 'APPLE' WHEN regexp_matches(upper(CPU), 'AMD|RYZEN|ATHLON') THEN 'AMD' WHEN regexp_matches(upper(CPU), 'INTEL|\bI[3579]\b|CELERON|PENTIUM|XEON') THEN 'INTEL' ELSE 'OTHER' END AS maker, {_FAMILY} AS family, {_MODEL} AS model_number, CASE WHEN {_MODEL} IS NOT NULL THEN greatest(least(CAST(floor({_MODEL} / 1000) AS INT), 14), 1) END AS generation FROM listings",
+    "cpu_texts": "WITH " + FAMILY_SQL.format(name="name", table="cpus", text="CPU") + rf" SELECT listing_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(lower(CPU), '\s*@.*$', ''), 'intel|processor|core|cpu', '', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS cpu_key, coalesce(maker, 'OTHER') AS maker, coalesce(family, 'UNKNOWN') AS family, {_MODEL} AS model_number, CASE WHEN {_MODEL} IS NOT NULL THEN greatest(least(CAST(floor({_MODEL} / 1000) AS INT), 14), 1) END AS generation FROM listings LEFT JOIN fam USING (CPU)",
     "numeric_marks": _A + "SELECT listing_id, cpu_mark, gpu_g3d_mark, gpu_g2d_mark FROM a",
     "use_flags": _A + "SELECT listing_id, CAST(DEDICATED_GPU IS NOT NULL AS INT) AS has_dedicated_gpu, CAST(DEDICATED_GPU IS NOT NULL AND coalesce(gpu_tdp, 0) > 45 AS INT) AS is_gaming, CAST(coalesce(screen, 99) <= 14 AND coalesce(tdp, 99) <= 15 AND DEDICATED_GPU IS NULL AS INT) AS is_ultrabook, CAST(coalesce(month(posted) IN (9, 10), false) AS INT) AS is_back_to_school, CAST(coalesce(" + _map_sql("year(posted)", K.RAMADAN_MONTH) + " = month(posted), false) AS INT) AS is_ramadan FROM a",
     "ratios": _A + f"SELECT listing_id, round(gpu_g3d_mark / nullif(cpu_mark, 0), 6) AS gpu_to_cpu, round({_capacity_sql('SSD_SIZE', 15)} / nullif({_capacity_sql('RAM_SIZE', 15)}, 0), 6) AS storage_per_ram, round({_capacity_sql('SSD_SIZE')} + {_capacity_sql('HDD_SIZE')}, 6) AS total_storage, coalesce(tdp, 0) + coalesce(gpu_tdp, 0) AS total_tdp FROM a",

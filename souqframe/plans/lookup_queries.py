@@ -88,7 +88,7 @@ def first_match_lookup(spark, sf):
 
 def enriched_request(spark, sf):
     """Requests completed from the part tables; given values win."""
-    cpus = read_table(spark, sf, "cpus").orderBy("name").limit(40).select("name")
+    cpus = read_table(spark, sf, "cpus").select("name")
     req = cpus.withColumn("cores", F.when(F.length("name") % 2 == 0, F.lit(99)))
     full = read_table(spark, sf, "cpus").select("name", F.col("cores").alias("c2"), F.col("tdp"), F.col("gpu_name"))
     gpus = read_table(spark, sf, "gpus").select("gpu_name", F.col("tdp_w"))
@@ -133,7 +133,7 @@ ORACLE = {
     "missing_key_worklist": f"SELECT DISTINCT mapped_cpu_name AS cpu_name, '' AS ddr_type, '' AS notes FROM listings WHERE mapped_cpu_name IS NOT NULL AND {_KEY.format('mapped_cpu_name')} NOT IN (SELECT {_KEY.format('cpu_name')} FROM cpu_ddr_map WHERE cpu_name IS NOT NULL)",
     "similar_listings": _A + ", s AS (SELECT stddev_pop(cpu_mark) AS s1, stddev_pop(gpu_g3d_mark) AS s2, stddev_pop(screen) AS s3, stddev_pop(price) AS s4 FROM a) SELECT DISTINCT listing_id, round(sqrt(coalesce(pow((cpu_mark - 30000) / s1, 2), 0) + coalesce(pow((gpu_g3d_mark - 20000) / s2, 2), 0) + coalesce(pow((screen - 15.6) / s3, 2), 0) + coalesce(pow((price - 90000) / s4, 2), 0)), 6) AS distance FROM a, s ORDER BY distance, listing_id LIMIT 20",
     "first_match_lookup": "SELECT gpu_name, max(estimated_price) AS estimated_price, count(*) AS entries FROM gpu_prices WHERE gpu_name IS NOT NULL GROUP BY 1",
-    "enriched_request": "WITH r AS (SELECT name, CASE WHEN len(name) % 2 = 0 THEN 99 END AS cores FROM (SELECT name FROM cpus ORDER BY name LIMIT 40)) SELECT r.name, coalesce(r.cores, c.cores) AS cores, c.tdp, g.tdp_w FROM r LEFT JOIN cpus c ON r.name = c.name LEFT JOIN gpus g ON c.gpu_name = g.gpu_name",
+    "enriched_request": "WITH r AS (SELECT name, CASE WHEN len(name) % 2 = 0 THEN 99 END AS cores FROM cpus) SELECT r.name, coalesce(r.cores, c.cores) AS cores, c.tdp, g.tdp_w FROM r LEFT JOIN cpus c ON r.name = c.name LEFT JOIN gpus g ON c.gpu_name = g.gpu_name",
     "key_sync": "WITH b AS (SELECT gpu_name, max(estimated_price) AS p FROM gpu_prices WHERE gpu_name IS NOT NULL GROUP BY 1), j AS (SELECT g.gpu_name AS a, b.gpu_name AS b, g.estimated_price AS x, b.p AS y FROM (SELECT * FROM gpus WHERE gpu_name IS NOT NULL) g FULL JOIN b ON g.gpu_name = b.gpu_name) SELECT CASE WHEN b IS NULL THEN 'only here' WHEN a IS NULL THEN 'only there' WHEN x IS NOT DISTINCT FROM y THEN 'equal' ELSE 'changed' END AS outcome, count(*) AS names FROM j GROUP BY 1",
     "co_located_events": "WITH d AS (SELECT listing_id, count(*) AS documents, sum(n_chars) AS chars FROM documents WHERE listing_id IS NOT NULL GROUP BY 1) SELECT brand, CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT DISTINCT listing_id, brand FROM listings) l JOIN d USING (listing_id) GROUP BY 1",
     "star_join_revenue": "SELECT n_name, p_type, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 6))), 2) AS DOUBLE) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",

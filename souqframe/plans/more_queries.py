@@ -8,7 +8,8 @@ from souqframe.functions.specs import capacity_gb, labelled_bins
 from souqframe.operators import clusters
 from souqframe.operators.ranking import hash_order
 from souqframe.operators.running import running_sum
-from souqframe.plans.cleaning_queries import _capacity_sql
+from souqframe.operators.text_classes import small
+from souqframe.plans.cleaning_queries import FAMILY_SQL, _capacity_sql, family_words, named_family
 from souqframe.plans.common import ADS, ads, r6
 from souqframe.session import read_table
 
@@ -16,10 +17,15 @@ _A = f"WITH {ADS} "
 
 
 def card_texts(spark, sf):
-    """Series, number and variant of typed graphics cards."""
-    t = F.lower(F.trim(F.regexp_replace("DEDICATED_GPU", r"[^A-Za-z0-9]+", " ")))
-    part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    return read_table(spark, sf, "listings").select("listing_id", part(r"\b(strata|vx|tessel|prism)\b").alias("series"), part(r"(\d{3,5})").try_cast("bigint").alias("number"), part(r"\b(ti|max|super|laptop)\b").alias("variant"))
+    """Series, number and variant of typed graphics cards, by the words of the card list."""
+    ads = read_table(spark, sf, "listings").select("listing_id", "DEDICATED_GPU")
+    series = small(named_family(ads, "DEDICATED_GPU", family_words(spark, sf, "gpus", "gpu_name")), "DEDICATED_GPU")
+    last = F.lower(F.regexp_extract("gpu_name", r"\d ([A-Za-z]+)$", 1)).alias("token")
+    variants = read_table(spark, sf, "gpus").select(last).where("token <> ''").distinct()
+    token = F.explode(F.regexp_extract_all(F.lower("DEDICATED_GPU"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("token")
+    variant = ads.select("DEDICATED_GPU").distinct().select("DEDICATED_GPU", token).join(small(variants, "token"), "token").groupBy("DEDICATED_GPU").agg(F.min("token").alias("variant"))
+    number = F.nullif(F.regexp_extract("DEDICATED_GPU", r"(\d{3,5})", 1), F.lit("")).try_cast("bigint")
+    return ads.join(series, "DEDICATED_GPU", "left").join(small(variant, "DEDICATED_GPU"), "DEDICATED_GPU", "left").select("listing_id", F.col("family").alias("series"), number.alias("number"), "variant")
 
 
 def number_of_listings_key(spark, sf):
@@ -99,12 +105,11 @@ def segment_names(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (card_texts, number_of_listings_key, misses_of_both_maps, storage_kinds, mark_bins, merged_near_duplicates, market_document, label_template, learning_sizes, silhouette_of_labels, density_clusters, consensus_clusters, segment_names)}
-_T = "lower(trim(regexp_replace(DEDICATED_GPU, '[^A-Za-z0-9]+', ' ', 'g')))"
 _H = "CAST(('0x' || substr(md5(concat_ws('|', listing_id, {})), 1, 15)) AS BIGINT)"
 _KEY = r"lower(trim(regexp_replace({}, '\s*@.*$', '')))"
 _D = ", d AS (SELECT DISTINCT listing_id, price, brand FROM a WHERE price IS NOT NULL)"
 ORACLE = {
-    "card_texts": rf"SELECT listing_id, nullif(regexp_extract({_T}, '\b(strata|vx|tessel|prism)\b', 1), '') AS series, try_cast(nullif(regexp_extract({_T}, '(\d{{3,5}})', 1), '') AS BIGINT) AS number, nullif(regexp_extract({_T}, '\b(ti|max|super|laptop)\b', 1), '') AS variant FROM listings",
+    "card_texts": "WITH " + FAMILY_SQL.format(name="gpu_name", table="gpus", text="DEDICATED_GPU") + r", va AS (SELECT DISTINCT lower(regexp_extract(gpu_name, '\d ([A-Za-z]+)$', 1)) AS token FROM gpus), vt AS (SELECT DEDICATED_GPU, min(token) AS variant FROM (SELECT DISTINCT DEDICATED_GPU, unnest(regexp_extract_all(lower(DEDICATED_GPU), '[\p{L}]+')) AS token FROM listings WHERE DEDICATED_GPU IS NOT NULL) JOIN va USING (token) WHERE token <> '' GROUP BY 1) SELECT listing_id, family AS series, try_cast(nullif(regexp_extract(DEDICATED_GPU, '(\d{3,5})', 1), '') AS BIGINT) AS number, variant FROM listings LEFT JOIN fam USING (DEDICATED_GPU) LEFT JOIN vt USING (DEDICATED_GPU)",
     "number_of_listings_key": f"SELECT listing_id, row_number() OVER (ORDER BY {_H.format(1)}, listing_id) AS row_key FROM (SELECT DISTINCT listing_id FROM listings)",
     "misses_of_both_maps": f"SELECT DISTINCT {_KEY.format('CPU')} AS k FROM listings WHERE CPU IS NOT NULL AND {_KEY.format('CPU')} NOT IN (SELECT {_KEY.format('cpu_name')} FROM cpu_ddr_map WHERE cpu_name IS NOT NULL) AND {_KEY.format('CPU')} NOT IN (SELECT {_KEY.format('name')} FROM cpus)",
     "storage_kinds": f"WITH s AS (SELECT {_capacity_sql('SSD_SIZE', 9)} AS s, {_capacity_sql('HDD_SIZE', 9)} AS h FROM listings) SELECT CASE WHEN s > 0 AND h > 0 THEN 'both' WHEN s > 0 THEN 'ssd' WHEN h > 0 THEN 'hdd' ELSE 'none' END AS kind, count(*) AS n FROM s GROUP BY 1",

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from souqframe.functions.specs import capacity_gb, labelled_bins
 from souqframe.operators import outliers, rules
-from souqframe.operators.ranking import hash_order
 from souqframe.plans.cleaning_queries import _capacity_sql
 from souqframe.plans.common import ADS, ads, r6
 from souqframe.session import Workspace, read_table
@@ -30,8 +29,13 @@ def _bin_sql(expr: str, edges: list, labels: list) -> str:
 
 
 _BASKETS = _A + f", r AS (SELECT *, {_capacity_sql('RAM_SIZE', 15)} AS ram FROM a), k AS (SELECT DISTINCT listing_id, list_sort(list_filter([{_bin_sql('ram', _RAM, _RAM_L)}, {_bin_sql('price', _PRICE, _PRICE_L)}, CASE WHEN DEDICATED_GPU IS NOT NULL THEN 'dedicated' ELSE 'integrated' END, 'res:' || SCREEN_RESOLUTION_STD, 'brand:' || brand], lambda x: x IS NOT NULL)) AS items FROM r)"
-_SETS = _BASKETS + ", u AS (SELECT listing_id, items, unnest(items) AS i FROM k), n AS (SELECT count(*) AS n FROM k), s1 AS (SELECT [i] AS items, count(*) AS c FROM u GROUP BY i), s2 AS (SELECT [x.i, y.i] AS items, count(*) AS c FROM u x JOIN u y ON x.listing_id = y.listing_id AND x.items = y.items AND x.i < y.i GROUP BY x.i, y.i), s3 AS (SELECT [x.i, y.i, z.i] AS items, count(*) AS c FROM u x JOIN u y ON x.listing_id = y.listing_id AND x.items = y.items AND x.i < y.i JOIN u z ON x.listing_id = z.listing_id AND x.items = z.items AND y.i < z.i GROUP BY x.i, y.i, z.i), s AS (SELECT items, c, c / n AS support FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3), n WHERE c >= 0.05 * n)"
-_RULES = _SETS + ", sp AS (SELECT items, support, unnest(range(1, CAST(pow(2, len(items)) AS INT) - 1)) AS m FROM s WHERE len(items) >= 2), pr AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) % 2 = 1) AS antecedent, list_filter(items, lambda x, i: (m >> (i - 1)) % 2 = 0) AS consequent, support FROM sp), ru AS (SELECT antecedent, consequent, pr.support AS support, a1.support AS sa, c1.support AS sc, pr.support / a1.support AS confidence, pr.support / a1.support / c1.support AS lift FROM pr JOIN s a1 ON antecedent = a1.items JOIN s c1 ON consequent = c1.items)"
+_SETS = _BASKETS.replace("k AS (", "k AS MATERIALIZED (") + """, b AS MATERIALIZED (SELECT items, count(*) AS w FROM k GROUP BY items), n AS (SELECT count(*) AS n FROM k),
+m AS (SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) % 2 = 1) AS items, w FROM (SELECT items, w, unnest(range(1, CAST(pow(2, len(items)) AS INT))) AS mask FROM b)),
+s AS MATERIALIZED (SELECT items, CAST(sum(w) AS BIGINT) AS c, sum(w) / any_value(n) AS support FROM m, n GROUP BY items HAVING sum(w) >= 0.05 * any_value(n))"""
+_RULES = _SETS + """, sp AS (SELECT items, support, unnest(range(1, CAST(pow(2, len(items)) AS INT) - 1)) AS m FROM s WHERE len(items) >= 2),
+pr AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) % 2 = 1) AS antecedent, list_filter(items, lambda x, i: (m >> (i - 1)) % 2 = 0) AS consequent, support FROM sp),
+ru AS MATERIALIZED (SELECT antecedent, consequent, pr.support AS support, a1.support AS sa, c1.support AS sc, pr.support / a1.support AS confidence, pr.support / a1.support / c1.support AS lift FROM pr JOIN s a1 ON antecedent = a1.items JOIN s c1 ON consequent = c1.items),
+hit AS MATERIALIZED (SELECT items, antecedent, consequent, confidence FROM b JOIN ru ON confidence >= 0.8 AND lift >= 1.0 AND list_has_all(b.items, antecedent) AND NOT list_has_all(b.items, consequent))"""
 
 
 def basket_items(spark, sf):
@@ -58,7 +62,7 @@ def spec_consistency(spark, sf):
     b = _baskets(spark, sf)
     ws = Workspace(spark)
     v = rules.violations(b, "listing_id", "items", ws.stage(_mined(spark, sf, 0.8, 1.0), "rules"))
-    return v.select("listing_id", "violations", r6("best_confidence").alias("best_confidence"))
+    return v.select("listing_id", "violations", r6("best_confidence").alias("best_confidence"), F.array_join("labels", "; ").alias("labels"))
 
 
 def violation_summary(spark, sf):
@@ -68,6 +72,24 @@ def violation_summary(spark, sf):
     return v.select(F.explode("labels").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(10)
 
 
+def top_rules(spark, sf):
+    """The 20 rules of highest lift, then confidence."""
+    r = _mined(spark, sf).select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), r6("lift").alias("lift"), r6("confidence").alias("confidence"))
+    return r.orderBy(F.desc("lift"), F.desc("confidence"), "antecedent", "consequent").limit(20)
+
+
+def one_hot_baskets(spark, sf):
+    """A 0/1 column per item but those of brand and resolution."""
+    b = _baskets(spark, sf).select("listing_id", rules.without(F.col("items"), ("brand:", "res:")).alias("items"))
+    return rules.one_hot(b, "listing_id", "items")
+
+
+def experiment_itemsets(spark, sf):
+    """Itemsets mined without brands and without the item almost every listing has."""
+    b = _baskets(spark, sf).select("listing_id", rules.without(F.col("items"), ("brand:",), ("integrated",)).alias("items"))
+    return rules.frequent_itemsets(b, "items", 0.05).select(F.array_join("items", ",").alias("items"), "n")
+
+
 def parsed_itemsets(spark, sf):
     """Written sets read back."""
     s = _baskets(spark, sf).select("listing_id", F.concat(F.lit("frozenset({'"), F.array_join("items", "', '"), F.lit("'})")).alias("written"))
@@ -112,22 +134,20 @@ def detector_agreement(spark, sf):
 
 def isolation_forest(spark, sf):
     a = ads(spark, sf).select("listing_id", *_DIMS).distinct()
-    return outliers.isolation_scores(a, "listing_id", _DIMS, trees=50)
+    return outliers.isolation_scores(a, "listing_id", _DIMS, trees=300)
 
 
 def local_outliers(spark, sf):
     return outliers.local_outlier_factor(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
-def gower_sample(spark, sf):
-    """Distances within a hash sample of 60 listings."""
-    a = ads(spark, sf).select("listing_id", "price", "cpu_mark", "brand", "SCREEN_RESOLUTION_STD").distinct()
-    s = a.orderBy(hash_order(F.col("listing_id"), F.lit(7)), "listing_id").limit(60)
-    g = outliers.gower_distances(s, "listing_id", ["price", "cpu_mark"], ["brand", "SCREEN_RESOLUTION_STD"])
-    return g.select("id_a", "id_b", r6("distance").alias("distance"))
+def gower_nearest(spark, sf):
+    """The five listings nearest to every listing whose id is divisible by 20, by Gower distance over all listings."""
+    a = ads(spark, sf).groupBy("listing_id").agg(*[F.min(c).alias(c) for c in ("price", "cpu_mark", "brand", "SCREEN_RESOLUTION_STD")])
+    return outliers.gower_nearest(a, a.where("listing_id % 20 = 0"), "listing_id", ["price", "cpu_mark"], ["brand", "SCREEN_RESOLUTION_STD"], 5)
 
 
-QUERIES = {f.__name__: f for f in (basket_items, frequent_itemsets, association_rules, spec_consistency, violation_summary, parsed_itemsets, tail_outliers, detector_ensemble, detector_agreement, isolation_forest, local_outliers, gower_sample)}
+QUERIES = {f.__name__: f for f in (basket_items, frequent_itemsets, association_rules, spec_consistency, violation_summary, parsed_itemsets, tail_outliers, detector_ensemble, detector_agreement, isolation_forest, local_outliers, gower_nearest, top_rules, one_hot_baskets, experiment_itemsets)}
 _TAILS = _A + ", d AS (SELECT DISTINCT listing_id, price, cpu_mark, gpu_g3d_mark, cores FROM a), " + ", ".join(
     f"t{i} AS (SELECT {c} AS v, -ln(sum(count(*)) OVER (ORDER BY {c}) / sum(count(*)) OVER ()) AS l, -ln(sum(count(*)) OVER (ORDER BY {c} DESC) / sum(count(*)) OVER ()) AS r FROM d WHERE {c} IS NOT NULL GROUP BY {c})" for i, c in enumerate(_DIMS)
 ) + ", w AS (SELECT " + ", ".join(f"skewness({c}) AS k{i}" for i, c in enumerate(_DIMS)) + " FROM d)"
@@ -136,11 +156,14 @@ ORACLE = {
     "basket_items": _BASKETS + " SELECT listing_id, array_to_string(items, ',') AS items FROM k",
     "frequent_itemsets": _SETS + " SELECT array_to_string(items, ',') AS items, c AS n, round(support, 6) AS support FROM s",
     "association_rules": _RULES + " SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent, round(support, 6) AS support, round(sa, 6) AS antecedent_support, round(sc, 6) AS consequent_support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(support - sa * sc, 6) AS leverage, round(CASE WHEN confidence < 1 THEN (1 - sc) / (1 - confidence) END, 6) AS conviction, round((support - sa * sc) / nullif(greatest(support * (1 - sa), sa * (sc - support)), 0), 6) AS zhang, round(support / (sa + sc - support), 6) AS jaccard, round((confidence - sc) / nullif(1 - sc, 0), 6) AS certainty, round((support / sa + support / sc) / 2, 6) AS kulczynski FROM ru WHERE confidence >= 0.5 AND lift >= 1.05",
-    "spec_consistency": _RULES + " SELECT listing_id, count(*) AS violations, round(max(confidence), 6) AS best_confidence FROM k JOIN ru ON confidence >= 0.8 AND lift >= 1.0 AND list_has_all(k.items, antecedent) AND NOT list_has_all(k.items, consequent) GROUP BY 1",
-    "violation_summary": _RULES + " SELECT array_to_string(antecedent, '+') || ' -> ' || array_to_string(consequent, '+') AS rule, count(*) AS n FROM (SELECT DISTINCT listing_id, items FROM k) k JOIN ru ON confidence >= 0.8 AND lift >= 1.0 AND list_has_all(k.items, antecedent) AND NOT list_has_all(k.items, consequent) GROUP BY 1 ORDER BY n DESC, rule LIMIT 10",
+    "spec_consistency": _RULES + " SELECT listing_id, violations, best_confidence, labels FROM k JOIN (SELECT items, count(*) AS violations, round(max(confidence), 6) AS best_confidence, array_to_string(list_sort(list(array_to_string(antecedent, '+') || ' -> ' || array_to_string(consequent, '+'))), '; ') AS labels FROM hit GROUP BY 1) USING (items)",
+    "violation_summary": _RULES + " SELECT array_to_string(antecedent, '+') || ' -> ' || array_to_string(consequent, '+') AS rule, CAST(sum(w) AS BIGINT) AS n FROM hit JOIN b USING (items) GROUP BY 1 ORDER BY n DESC, rule LIMIT 10",
+    "top_rules": _RULES + " SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent, round(lift, 6) AS lift, round(confidence, 6) AS confidence FROM ru WHERE confidence >= 0.5 AND lift >= 1.05 ORDER BY round(ru.lift, 6) DESC, round(ru.confidence, 6) DESC, 1, 2 LIMIT 20",
+    "one_hot_baskets": _BASKETS + " SELECT listing_id, CAST(list_contains(items, 'dedicated') AS INT) AS dedicated, CAST(list_contains(items, 'integrated') AS INT) AS integrated, " + ", ".join(f"CAST(list_contains(items, '{x}') AS INT) AS \"{x}\"" for x in ("price1", "price2", "price3", "price4", "ram<=16", "ram<=4", "ram<=8", "ram>16")) + " FROM k",
+    "experiment_itemsets": _SETS + " SELECT array_to_string(items, ',') AS items, c AS n FROM s WHERE len(list_filter(items, lambda x: starts_with(x, 'brand:') OR x = 'integrated')) = 0",
     "parsed_itemsets": _BASKETS + " SELECT listing_id, array_to_string(items, ',') AS items FROM k",
     "tail_outliers": _TAILS + " SELECT listing_id, " + ", ".join(f"round({e}, 5) AS {n}" for n, e in (('"left"', " + ".join(f"coalesce(t{i}.l, 0)" for i in range(4))), ('"right"', " + ".join(f"coalesce(t{i}.r, 0)" for i in range(4))), ("auto", " + ".join(f"coalesce(CASE WHEN k{i} < 0 THEN t{i}.l ELSE t{i}.r END, 0)" for i in range(4))))) + " FROM d CROSS JOIN w " + " ".join(f"LEFT JOIN t{i} ON t{i}.v = d.{c}" for i, c in enumerate(_DIMS)),
     "detector_ensemble": _FLAGS + ' SELECT count(*) FILTER (z) AS z, count(*) FILTER (iqr) AS iqr, count(*) FILTER (mark) AS mark, count(*) FILTER (CAST(z AS INT) + CAST(iqr AS INT) + CAST(mark AS INT) >= 2) AS majority, count(*) FILTER (z OR iqr OR mark) AS "any" FROM f',
     "detector_agreement": _FLAGS + " " + " UNION ALL ".join(f"SELECT '{x}-{y}' AS pair, round(coalesce(count(*) FILTER ({x} AND {y}) / nullif(count(*) FILTER ({x} OR {y}), 0), 1), 6) AS jaccard FROM f" for x, y in (("z", "iqr"), ("z", "mark"), ("iqr", "mark"))),
-    "gower_sample": _A + ", d AS (SELECT DISTINCT listing_id, price, cpu_mark, brand, SCREEN_RESOLUTION_STD AS r FROM a), s AS (SELECT * FROM d ORDER BY CAST(('0x' || substr(md5(concat_ws('|', listing_id, 7)), 1, 15)) AS BIGINT), listing_id LIMIT 60), w AS (SELECT max(price) - min(price) AS wp, max(cpu_mark) - min(cpu_mark) AS wc FROM s), j AS (SELECT x.listing_id AS id_a, y.listing_id AS id_b, coalesce(abs(x.price - y.price) / wp, 0) + coalesce(abs(x.cpu_mark - y.cpu_mark) / wc, 0) + coalesce(CAST(x.brand <> y.brand AS INT), 0) + coalesce(CAST(x.r <> y.r AS INT), 0) AS num, CAST(x.price + y.price IS NOT NULL AS INT) + CAST(x.cpu_mark + y.cpu_mark IS NOT NULL AS INT) + CAST(x.brand || y.brand IS NOT NULL AS INT) + CAST(x.r || y.r IS NOT NULL AS INT) AS den FROM s x JOIN s y ON x.listing_id < y.listing_id, w) SELECT id_a, id_b, round(CASE WHEN den > 0 THEN num / den ELSE 1 END, 6) AS distance FROM j",
+    "gower_nearest": _A + ", d AS (SELECT listing_id, min(price) AS price, min(cpu_mark) AS cpu_mark, min(brand) AS brand, min(SCREEN_RESOLUTION_STD) AS r FROM a GROUP BY 1), w AS (SELECT max(price) - min(price) AS wp, max(cpu_mark) - min(cpu_mark) AS wc FROM d), j AS (SELECT x.listing_id AS listing_id, y.listing_id AS neighbour, coalesce(abs(x.price - y.price) / wp, 0) + coalesce(abs(x.cpu_mark - y.cpu_mark) / wc, 0) + coalesce(CAST(x.brand <> y.brand AS INT), 0) + coalesce(CAST(x.r <> y.r AS INT), 0) AS num, CAST(x.price + y.price IS NOT NULL AS INT) + CAST(x.cpu_mark + y.cpu_mark IS NOT NULL AS INT) + CAST(x.brand || y.brand IS NOT NULL AS INT) + CAST(x.r || y.r IS NOT NULL AS INT) AS den FROM d x JOIN d y ON x.listing_id <> y.listing_id AND x.listing_id % 20 = 0, w), g AS (SELECT listing_id, neighbour, round(CASE WHEN den > 0 THEN num / den ELSE 1 END, 6) AS distance FROM j) SELECT listing_id, neighbour, distance, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY distance, neighbour) AS INT) AS place FROM g QUALIFY place <= 5",
 }

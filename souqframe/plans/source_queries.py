@@ -39,9 +39,11 @@ def tagged_files(spark, sf):
 
 
 def json_requests(spark, sf):
-    src = read_table(spark, sf, "cpus").orderBy("name").limit(20)
-    texts = [r.t for r in src.select(F.to_json(F.struct(*src.columns)).alias("t")).collect()]
-    return readers.read_json_rows(spark, texts, src.schema)
+    """Every part as one JSON text a line, written and read back with its schema."""
+    src = read_table(spark, sf, "cpus")
+    path = f"{Workspace(spark).base}/requests"
+    src.select(F.to_json(F.struct(*src.columns)).alias("value")).write.mode("overwrite").text(path)
+    return spark.read.schema(src.schema).json(path)
 
 
 def key_value_maps(spark, sf):
@@ -90,7 +92,7 @@ ORACLE = {
     "csv_round_trip": "SELECT * FROM cpus",
     "csv_with_bad_lines": "SELECT gpu_name, CASE WHEN NOT contains(g3d_mark, ',') THEN CAST(replace(g3d_mark, ',', '') AS BIGINT) END AS g3d_mark, coalesce(contains(g3d_mark, ','), false) AS is_bad FROM gpus",
     "tagged_files": "SELECT true AS tagged, count(*) AS n FROM gpu_prices WHERE estimated_price IS NOT NULL",
-    "json_requests": "SELECT * FROM cpus ORDER BY name LIMIT 20",
+    "json_requests": "SELECT * FROM cpus",
     "key_value_maps": r"SELECT regexp_replace(cpu_name, '\s*@.*$', '') AS key, max(trim(ddr_type)) AS value FROM cpu_ddr_map WHERE cpu_name IS NOT NULL AND nullif(trim(ddr_type), '') IS NOT NULL GROUP BY 1",
     "partitioned_table": _A + "SELECT listing_id, price, 2024 AS listing_year FROM a WHERE year(posted) = 2024",
     "extended_map": "WITH k AS (SELECT gpu_name, max(estimated_price) AS estimated_price FROM gpu_prices WHERE gpu_name IS NOT NULL GROUP BY 1) FROM k UNION ALL SELECT gpu_name, estimated_price FROM gpus WHERE gpu_name IS NOT NULL AND gpu_name NOT IN (SELECT gpu_name FROM k)",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from souqframe.operators import contracts, impute, outliers, ranking, rules, units
+from souqframe.operators import clusters, contracts, impute, outliers, ranking, rules, units
 from souqframe.operators.running import running_sum
 from souqframe.operators.text_classes import arrangeable, text_classes
 from souqframe.session import Workspace
@@ -222,8 +222,27 @@ def test_planted_outliers(spark):
 
 def test_gower(spark):
     df = spark.createDataFrame([(1, 0.0, "x"), (2, 10.0, "x"), (3, None, "y"), (4, None, None)], "id bigint, n double, c string")
-    d = {(r.id_a, r.id_b): r.distance for r in outliers.gower_distances(df, "id", ["n"], ["c"]).collect()}
-    assert d == {(1, 2): 0.5, (1, 3): 1.0, (1, 4): 1.0, (2, 3): 1.0, (2, 4): 1.0, (3, 4): 1.0}
+    d = {(r.id, r.neighbour): r.distance for r in outliers.gower_nearest(df, df, "id", ["n"], ["c"], 3, block=2).collect()}
+    want = {(1, 2): 0.5, (1, 3): 1.0, (1, 4): 1.0, (2, 3): 1.0, (2, 4): 1.0, (3, 4): 1.0}
+    assert d == want | {(b, a): v for (a, b), v in want.items()}
+    assert outliers.gower_nearest(df.limit(0), df, "id", ["n"], ["c"], 3).count() == 0
+
+
+def test_neighbours_and_silhouette_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(0, 1, (40, 2)), rng.normal(6, 1, (30, 2))]
+    df = spark.createDataFrame([(i, [float(a), float(b)], int(i >= 40)) for i, (a, b) in enumerate(x)], "id bigint, v array<double>, l int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in outliers.nearest_neighbours(df, "id", "v", 3, block=16).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert got == {i: set(np.argsort(d[i])[:3].tolist()) for i in range(70)}
+    np.fill_diagonal(d, 0)
+    a = np.array([d[i, (np.arange(70) >= 40) == (i >= 40)].sum() / ((30 if i >= 40 else 40) - 1) for i in range(70)])
+    b = np.array([d[i, (np.arange(70) >= 40) != (i >= 40)].mean() for i in range(70)])
+    assert clusters.silhouette(df, "id", "v", "l") == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()))
+    assert clusters.silhouette(df.where("l = 0"), "id", "v", "l") is None
 
 
 def test_contracts(spark):

@@ -54,8 +54,6 @@ def test_screens(spark):
 
 def test_processors(spark):
     assert values(spark, ["Intel Core i5-1135G7 @ 2.40GHz", "11TH GEN INTEL CORE I5 1135G7", "", None], specs.cpu_key(F.col("x"))) == ["i5 1135g7", "11th gen i5 1135g7", "", ""]
-    assert values(spark, ["Intel i7", "AMD Ryzen 7 5800H", "Apple M3", "Celeron N4020", "x"], specs.cpu_family(F.col("x"))) == ["i7", "Ryzen 7", "Apple M", "Celeron", "UNKNOWN"]
-    assert values(spark, ["Intel i7", "AMD Ryzen 7", "Apple M3", "Celeron N4020", "x"], specs.cpu_maker(F.col("x"))) == ["INTEL", "AMD", "APPLE", "INTEL", "OTHER"]
 
 
 @pytest.mark.parametrize(
