@@ -138,7 +138,9 @@ def isolation_forest(spark, sf):
 
 
 def local_outliers(spark, sf):
-    return outliers.local_outlier_factor(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    """Local outlier factors of all vectors."""
+    lof = outliers.local_outlier_factor(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return lof.select("vec_id", F.round("lof", 3).alias("lof"))
 
 
 def gower_nearest(spark, sf):
@@ -166,4 +168,5 @@ ORACLE = {
     "detector_ensemble": _FLAGS + ' SELECT count(*) FILTER (z) AS z, count(*) FILTER (iqr) AS iqr, count(*) FILTER (mark) AS mark, count(*) FILTER (CAST(z AS INT) + CAST(iqr AS INT) + CAST(mark AS INT) >= 2) AS majority, count(*) FILTER (z OR iqr OR mark) AS "any" FROM f',
     "detector_agreement": _FLAGS + " " + " UNION ALL ".join(f"SELECT '{x}-{y}' AS pair, round(coalesce(count(*) FILTER ({x} AND {y}) / nullif(count(*) FILTER ({x} OR {y}), 0), 1), 6) AS jaccard FROM f" for x, y in (("z", "iqr"), ("z", "mark"), ("iqr", "mark"))),
     "gower_nearest": _A + ", d AS (SELECT listing_id, min(price) AS price, min(cpu_mark) AS cpu_mark, min(brand) AS brand, min(SCREEN_RESOLUTION_STD) AS r FROM a GROUP BY 1), w AS (SELECT max(price) - min(price) AS wp, max(cpu_mark) - min(cpu_mark) AS wc FROM d), j AS (SELECT x.listing_id AS listing_id, y.listing_id AS neighbour, coalesce(abs(x.price - y.price) / wp, 0) + coalesce(abs(x.cpu_mark - y.cpu_mark) / wc, 0) + coalesce(CAST(x.brand <> y.brand AS INT), 0) + coalesce(CAST(x.r <> y.r AS INT), 0) AS num, CAST(x.price + y.price IS NOT NULL AS INT) + CAST(x.cpu_mark + y.cpu_mark IS NOT NULL AS INT) + CAST(x.brand || y.brand IS NOT NULL AS INT) + CAST(x.r || y.r IS NOT NULL AS INT) AS den FROM d x JOIN d y ON x.listing_id <> y.listing_id AND x.listing_id % 20 = 0, w), g AS (SELECT listing_id, neighbour, round(CASE WHEN den > 0 THEN num / den ELSE 1 END, 6) AS distance FROM j) SELECT listing_id, neighbour, distance, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY distance, neighbour) AS INT) AS place FROM g QUALIFY place <= 5",
+    "local_outliers": "WITH p AS (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), n AS (SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 35), k AS (SELECT i, max(d) AS kd FROM n GROUP BY 1), r AS (SELECT n.i, 1 / greatest(avg(greatest(n.d, k.kd)), 1e-10) AS lrd FROM n JOIN k ON n.j = k.i GROUP BY 1) SELECT n.i AS vec_id, round(avg(b.lrd) / any_value(a.lrd), 3) AS lof FROM n JOIN r a ON n.i = a.i JOIN r b ON n.j = b.i GROUP BY 1",
 }
