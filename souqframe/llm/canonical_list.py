@@ -9,35 +9,39 @@ Before the search a text is read into family words, a variant and a code: words
 (brand, family, variant) are taken out, noise words and capacities dropped, the rest joined.
 
 Defined results: NULL, empty and wordless texts are unmatched; ties are unmatched; repeated rows give repeated
-rows. A text's case, accents of spacing and punctuation do not count. The reference list must be small enough
-for one worker (``MAX_ENTRIES``); a larger one is an error, not a cut. Queries are made distinct before the search.
+rows. A text's case, accents of spacing and punctuation do not count. A list of more than ``ENTRIES_A_TRIE`` entries is cut
+into as many tries as it takes; every query meets each of them and the nearest over all is taken, with the
+same result. Queries are made distinct before the search.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from souqframe.session import Workspace
 
 UNMATCHED = "UNMATCHED"
-MAX_ENTRIES = 200_000
+ENTRIES_A_TRIE = 50_000
 
 
 class Automaton:
-    """Accepts what lies within ``k`` edits (insert, delete, replace, swap neighbours) of ``word``.
+    """Accepts what lies within ``k`` edits (insert, delete, replace and, with ``swaps``, exchange of neighbours) of ``word``.
 
     A state is the last two sparse rows of distances and the last letter; transitions are
     computed once and remembered, so the automaton turns deterministic as it is used.
     """
 
-    def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
+    def __init__(self, word: str, k: int, swaps: bool = True):
+        self.word, self.k, self.swaps = word, k, swaps
         first = tuple((i, i) for i in range(min(len(word), k) + 1))
         self.states: list[tuple] = [(first, (), "")]
         self.ids: dict[tuple, int] = {self.states[0]: 0}
@@ -64,7 +68,7 @@ class Automaton:
             d = old.get(i, k + 1) + 1
             if i:
                 d = min(d, old.get(i - 1, k + 1) + (word[i - 1] != letter), new.get(i - 1, k + 1) + 1)
-                if i > 1 and last == word[i - 1] and letter == word[i - 2]:
+                if self.swaps and i > 1 and last == word[i - 1] and letter == word[i - 2]:
                     d = min(d, older.get(i - 2, k + 1) + 1)
             if d <= k:
                 new[i] = d
@@ -103,9 +107,9 @@ class Trie:
         if entry not in self.ends[at]:
             self.ends[at].append(entry)
 
-    def within(self, word: str, k: int) -> dict[int, int]:
+    def within(self, word: str, k: int, swaps: bool = True) -> dict[int, int]:
         """Every entry within ``k`` of ``word`` on any path, with its least distance."""
-        auto = Automaton(word, k)
+        auto = Automaton(word, k, swaps)
         found: dict[int, int] = {}
         stack = [(0, 0)]
         while stack:
@@ -155,22 +159,25 @@ class Matcher:
     codes: Trie = field(default_factory=Trie)
     numbers: Trie = field(default_factory=Trie)  # paths without variant, for codes that give none
     vocabulary: Trie = field(default_factory=Trie)
+    written: Trie = field(default_factory=Trie)  # whole names, and what is left of them without their first words
+    known: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())  # family words and code letters of the other tries
 
     def __post_init__(self) -> None:
-        if len(self.names) > MAX_ENTRIES:
-            raise ValueError(f"more than {MAX_ENTRIES} entries")
         self.parts: list[dict[str, str] | None] = []
         self.words: list[str] = []
-        self.full: dict[str, list[int]] = {}
-        letters: set[str] = set()
+        letters: set[str] = set(self.known[1])
+        for w in sorted(self.known[0]):
+            self.vocabulary.add(w, len(self.words))
+            self.words.append(w)
         for e, name in enumerate(self.names):
-            plain = re.sub(r"\s*@.*$", "", name.lower())
-            m = re.match(self.style.entry, plain)
-            self.parts.append({k: v or "" for k, v in m.groupdict().items()} if m else None)
-            self.full.setdefault(_glue(plain), []).append(e)
+            m = _parsed(name, self.style)
+            self.parts.append(m)
+            words = re.findall(r"[^\W_]+", _plain(name))
+            for i in range(len(words)):
+                self.written.add("".join(words[i:]), 2 * e + (i > 0))
             if not m:
                 continue
-            p = self.parts[e]
+            p = m
             code = p["number"] + ("" if self.style.variants else p["variant"])
             letters |= set(code)
             lead = f"{p['variant']}:" if self.style.variants else ""
@@ -276,52 +283,137 @@ class Matcher:
                 note(self.numbers.within(digits, k), 1)
         return {e: (len(families - set(self.parts[e]["family"].split())), *d) for e, d in found.items()}
 
-    def match(self, text: str | None) -> str:
-        if not text:
-            return UNMATCHED
-        exact = self.full.get(_glue(re.sub(r"\s*@.*$", "", text.lower())))
-        if exact and len(exact) == 1:
-            return self.names[exact[0]]
-        hits = {e: d for e, d in self.candidates(text).items() if not d[0]}
-        if not hits:
-            return UNMATCHED
-        best = min(hits.values())
-        near = [e for e, d in hits.items() if d == best]
-        return self.names[near[0]] if len(near) == 1 else UNMATCHED
+    def near_names(self, name: str, k: int | None = None, swaps: bool = True) -> dict[int, int]:
+        """Entries whose name, or the end of it from some word on, is within ``k`` (by length) of ``name``, with the distance."""
+        g = _glue(name)
+        found: dict[int, int] = {}
+        for mark, d in self.written.within(g, self.reach(g) if k is None else k, swaps).items() if g else ():
+            found[mark // 2] = min(d, found.get(mark // 2, 99))
+        return found
+
+    def ranked(self, text: str | None, entered: str | None = None) -> list[tuple[tuple[int, ...], str]]:
+        """What a value may mean, each with its rank; the lowest rank means it if only one entry has it.
+
+        A name entered by hand overrides the text and counts as written, whole or from some word on: another number is
+        another part, however near, so only distance 0 is taken."""
+        if isinstance(entered, str) and entered.strip():
+            return [((0, 0, 0, 0, 0), self.names[e]) for e in self.near_names(entered, 0)]
+        if not isinstance(text, str) or not text:
+            return []
+        exact = {mark // 2 for mark in self.written.within(_glue(text), 0) if mark % 2 == 0}
+        if len(exact) == 1:
+            return [((0, 0, 0, 0, 0), self.names[e]) for e in exact]
+        return [((1, *rank[1:]), self.names[e]) for e, rank in self.candidates(text).items() if not rank[0]]
+
+    def match(self, text: str | None, entered: str | None = None) -> str:
+        best = nearest(self.ranked(text, entered))
+        return best[0][1] if len(best) == 1 else UNMATCHED
+
+
+def nearest(ranked: list[tuple[tuple[int, ...], str]]) -> list[tuple[tuple[int, ...], str]]:
+    low = min((r for r, _ in ranked), default=())
+    return [(r, n) for r, n in ranked if r == low]
+
 
-    def resolve(self, canonical: str) -> str:
-        """A name entered by hand: the one entry that ends in it once spelling is set aside."""
-        g = _glue(re.sub(r"\s*@.*$", "", canonical.lower()))
-        if not g:
-            return UNMATCHED
-        ends = [e for f, es in self.full.items() if f.endswith(g) for e in es]
-        if len(ends) == 1:
-            return self.names[ends[0]]
-        return UNMATCHED
+def _plain(name: str) -> str:
+    return re.sub(r"\s*@.*$", "", name.lower())
+
+
+def _parsed(name: str, style: Style) -> dict[str, str] | None:
+    m = re.match(style.entry, _plain(name))
+    return {k: v or "" for k, v in m.groupdict().items()} if m else None
 
 
 def _glue(t: str) -> str:
-    return "".join(re.findall(r"[^\W_]+", t))
+    return "".join(re.findall(r"[^\W_]+", _plain(t)))
+
+
+_built: dict[int, Matcher] = {}
+
+
+def _matcher(names: Broadcast, style: Style) -> Matcher:
+    """Built once a worker process from the list that was sent to its machine once."""
+    if names.value[0] not in _built:
+        _built.clear()
+        _built[names.value[0]] = Matcher(names.value[1], style, known=names.value[2])
+    return _built[names.value[0]]
 
 
-def map_values(queries: DataFrame, reference: list[str], style: Style, text: str, entered: str | None = None) -> DataFrame:
-    """Distinct ``text`` (and hand-``entered`` name, which overrides it) with ``canonical_name``."""
+def _known(reference: DataFrame, style: Style) -> tuple[frozenset[str], frozenset[str]]:
+    """The family words and code letters of a whole list: as many as its language has, not as it has entries."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ps = [p for n in b["name"] if (p := _parsed(n, style))]
+            out = {(0, w) for p in ps for w in p["family"].split()} | {(1, c) for p in ps for c in p["number"] + ("" if style.variants else p["variant"])}
+            yield pd.DataFrame(sorted(out), columns=["kind", "word"])
+
+    rows = reference.mapInPandas(words, "kind int, word string").distinct().collect()
+    return frozenset(r.word for r in rows if r.kind == 0), frozenset(r.word for r in rows if r.kind == 1)
+
+
+def tries(reference: DataFrame, style: Style, entries_a_trie: int = ENTRIES_A_TRIE) -> list[Broadcast]:
+    """The list ``name``, cut by hash into parts that one worker holds; each is sent to every machine once."""
+    names = reference.select("name").where("name IS NOT NULL").distinct()
+    parts = max(-(-names.count() // entries_a_trie), 1)
+    known = _known(names, style) if parts > 1 else (frozenset(), frozenset())
+    sc = reference.sparkSession.sparkContext
+    out = []
+    for k in range(parts):
+        # at most about ``entries_a_trie`` names at a time
+        part = sorted(r.name for r in names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == k).collect())
+        out.append(sc.broadcast((uuid.uuid4().int, part, known)))
+    return out
+
+
+def candidates(queries: DataFrame, reference: DataFrame, style: Style, text: str, entries_a_trie: int = ENTRIES_A_TRIE, swaps: bool = True) -> DataFrame:
+    """Distinct ``text`` with every entry within the length-dependent distance of it as a name: ``text, name, distance``."""
+    distinct = queries.select(text).where(F.col(text).isNotNull()).distinct()
+    spread = max(2 * queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out: DataFrame | None = None
+    for names in tries(reference, style, entries_a_trie):
+
+        def search(batches: Iterator[pd.DataFrame], names: Broadcast = names) -> Iterator[pd.DataFrame]:
+            m = _matcher(names, style)
+            for b in batches:
+                yield pd.DataFrame([(t, m.names[e], d) for t in b[text] for e, d in m.near_names(t, None, swaps).items()], columns=[text, "name", "distance"])
+
+        found = distinct.repartition(spread).mapInPandas(search, f"`{text}` string, name string, distance int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def map_values(queries: DataFrame, reference: DataFrame | list[str], style: Style, text: str, entered: str | None = None, entries_a_trie: int = ENTRIES_A_TRIE) -> DataFrame:
+    """``queries`` with ``canonical_name``: what ``text`` means, or the hand-``entered`` name, which overrides it."""
     cols = [text] + ([entered] if entered else [])
     spark = queries.sparkSession
+    if isinstance(reference, list):
+        reference = spark.createDataFrame([(n,) for n in reference], "name string")
     # few rows but slow ones: spread them whatever their bytes
     spread = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = queries.select(*cols).distinct().repartition(spread)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(reference, style)
-        for b in batches:
-            hand = b[entered] if entered else [None] * len(b)
-            yield b.assign(canonical_name=[m.resolve(h) if isinstance(h, str) and h.strip() else m.match(t if isinstance(t, str) else None) for t, h in zip(b[text], hand, strict=True)])
-
-    schema = T.StructType([*distinct.schema.fields, T.StructField("canonical_name", T.StringType())])
-    mapped = distinct.mapInPandas(search, schema)
-    on = queries[text].eqNullSafe(F.col(f"m.{text}"))
+    distinct = queries.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(cols, ("_text", "_entered"))]).distinct()
+    if not entered:
+        distinct = distinct.withColumn("_entered", F.lit(None).cast("string"))
+    lists = tries(reference, style, entries_a_trie)
+    if len(lists) > 1:
+        distinct = Workspace(spark).stage(distinct, "queries")
+    every: DataFrame | None = None
+    for names in lists:
+
+        def search(batches: Iterator[pd.DataFrame], names: Broadcast = names) -> Iterator[pd.DataFrame]:
+            m = _matcher(names, style)
+            for b in batches:
+                # two entries of equal rank are as good as all to see that none is meant
+                rows = [(t, h, list(r), n) for t, h in zip(b["_text"], b["_entered"], strict=True) for r, n in (nearest(m.ranked(t, h))[:2] or [((9,), UNMATCHED)])]
+                yield pd.DataFrame(rows, columns=["_text", "_entered", "rank", "name"])
+
+        found = distinct.repartition(spread).mapInPandas(search, "_text string, _entered string, rank array<int>, name string")
+        every = found if every is None else every.unionByName(found)
+    best = every.groupBy("_text", "_entered").agg(F.min("rank").alias("low"), F.min_by("name", "rank").alias("name"), F.array_agg("rank").alias("ranks"))  # two rows a trie at most
+    alone = F.size(F.filter("ranks", lambda r: r == F.col("low"))) == 1
+    mapped = best.select("_text", "_entered", F.when(alone, F.col("name")).otherwise(F.lit(UNMATCHED)).alias("canonical_name"))
+    on = queries[text].eqNullSafe(F.col("m._text"))
     if entered:
-        on = on & queries[entered].eqNullSafe(F.col(f"m.{entered}"))
+        on = on & queries[entered].eqNullSafe(F.col("m._entered"))
     kept = [queries[c] for c in queries.columns if c != "canonical_name"]  # such a column is replaced
     return queries.join(mapped.alias("m"), on, "left").select(*kept, F.col("m.canonical_name"))

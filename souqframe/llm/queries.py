@@ -50,13 +50,18 @@ def p1_split_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mapped_parts(spark: SparkSession, sf: str) -> DataFrame:
-    cpus = [r.name for r in read_table(spark, sf, "cpus").where("name IS NOT NULL").select("name").orderBy("name").collect()]
-    gpus = [r.gpu_name for r in read_table(spark, sf, "gpus").where("gpu_name IS NOT NULL").select("gpu_name").orderBy("gpu_name").collect()]
+    cpus = read_table(spark, sf, "cpus").select("name")
+    gpus = read_table(spark, sf, "gpus").select(F.col("gpu_name").alias("name"))
     a = canonical_list.map_values(read_table(spark, sf, "cpu_corrections"), cpus, canonical_list.CPU, "normalized_query", "canonical_cpu_name")
     b = canonical_list.map_values(read_table(spark, sf, "gpu_queries"), gpus, canonical_list.GPU, "gpu_text")
     return a.select("query_id", F.lit("cpus").alias("list"), F.col("normalized_query").alias("typed"), "canonical_name").unionByName(b.select("query_id", F.lit("gpus").alias("list"), F.col("gpu_text").alias("typed"), "canonical_name"))
 
 
+def p3_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every processor within the Levenshtein distance of a name entered by hand, whole or from some word on."""
+    return canonical_list.candidates(read_table(spark, sf, "cpu_corrections"), read_table(spark, sf, "cpus").select("name"), canonical_list.CPU, "canonical_cpu_name", swaps=False)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped_parts(spark, sf).select("query_id", "canonical_name").distinct()
 
@@ -186,12 +191,96 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_quality(spark, sf).where("NOT is_prose").select("doc_id").distinct()
 
 
+# -- what must hold of each result, counted over all of it ---------------------------------------------
+
+
+def _checks(spark: SparkSession, rows: dict[str, DataFrame]) -> DataFrame:
+    """``check_name, violations``: one row a check, from frames with a single count."""
+    out = None
+    for name, df in rows.items():
+        one = df.toDF("n").select(F.lit(name).alias("check_name"), F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _keys(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    """Documents with the keys that chain: texts of one author or about one listing belong together."""
+    return read_table(spark, sf, "documents").select("doc_id", "author_id", "listing_id"), [F.col("author_id"), F.col("listing_id")]
+
+
+def p1_document_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents linked through authors and listings, over any number of steps, in one split each."""
+    docs, keys = _keys(spark, sf)
+    return groups_split.grouped_split(docs, "doc_id", keys, SHARES).select(F.col("record_id").alias("doc_id"), "split")
+
+
+def p1_document_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The smallest document of each document's linked set."""
+    docs, keys = _keys(spark, sf)
+    member = Workspace(spark).stage(groups_split.components(docs, "doc_id", keys), "members")
+    first = member.groupBy("component").agg(F.min("record_id").alias("first_id"))
+    return member.join(first, "component").select(F.col("record_id").alias("doc_id"), "first_id").distinct()
+
+
+def p1_checks(spark: SparkSession, sf: str) -> DataFrame:
+    ws = Workspace(spark)
+    split = ws.stage(p1_split(spark, sf), "split")
+    ads = read_table(spark, sf, "listings").select("listing_id", configuration(F.col("spec_signature")).alias("c")).distinct()
+    j = ads.join(split, "listing_id", "left")
+    torn = j.where("c IS NOT NULL").groupBy("c").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")))
+    n = split.count()
+    off = split.groupBy("split").agg(F.count("*").alias("n")).agg(F.count_if(F.abs(F.col("n") / F.lit(max(n, 1)) - F.coalesce(*[F.when(F.col("split") == k, F.lit(v)) for k, v in SHARES.items()])) > 0.02))
+    return _checks(spark, {"configurations in two splits": torn, "listings without a split": j.agg(F.count_if(F.col("split").isNull())), "shares off by more than 0.02": off})
+
+
+def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles from summaries of bounded size against the exact ones."""
+    exact = p4_percentiles(spark, sf).select("dimension", "grp", "quantile", F.col("value").alias("exact"))
+    same = (F.col("a.dimension") == F.col("b.dimension")) & F.col("a.grp").eqNullSafe(F.col("b.grp")) & (F.col("a.quantile") == F.col("b.quantile"))
+    j = exact.alias("a").join(p4_percentiles_bounded(spark, sf).alias("b"), same, "full")
+    bad = F.coalesce(F.abs(F.col("b.value") - F.col("a.exact")) > 0.005 * F.abs(F.col("a.exact")) + 1e-9, F.lit(True))
+    return _checks(spark, {"percentiles off by more than 0.5 %": j.agg(F.count_if(bad))})
+
+
+def p7_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """Packs by characters instead of tokens: documents, characters and pieces packed, and containers too full."""
+    packs = _packs(spark, sf)
+    sizes = read_table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("n_tokens"))
+    packed = Workspace(spark).stage(packing.pack(sizes, packs), "packed")
+    capacity = F.coalesce(*[F.when(F.col("pack_name") == p, F.lit(c)) for p, c in packs.items()])
+    full = packed.groupBy("pack_name", "container_id").agg(F.sum("piece_tokens").alias("t")).groupBy("pack_name").agg(F.count_if(F.col("t") > capacity).alias("overfull"))
+    per = packed.groupBy("pack_name").agg(F.count_distinct("doc_id").alias("documents"), F.sum("piece_tokens").alias("characters"), F.count("*").alias("pieces"))
+    return per.join(full, "pack_name")
+
+
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    drawn, sizes, targets, _ = _mixed(spark, sf)
+    most = spark.createDataFrame([(r.source, r.target_share, r.max_repeats) for r in targets], "source string, target double, most int")
+    present = sizes.where("n_tokens > 0").groupBy("source").agg(F.max("n_tokens").alias("longest")).join(most, "source")
+    got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"))
+    total = got.agg(F.sum("t").alias("all"))
+    j = present.join(got, "source", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(present.agg(F.sum("target").alias("whole"), F.sum("longest").alias("slack"))))
+    off = F.abs(F.coalesce("t", F.lit(0)) - F.col("all") * F.col("target") / F.col("whole")) > F.col("slack")
+    return _checks(spark, {
+        "documents drawn too often": drawn.join(most, "source").agg(F.count_if(F.col("repeats") > F.col("most"))),
+        "documents drawn twice": drawn.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1)),
+        "untargeted documents": drawn.join(most, "source", "left_anti").agg(F.count("*")),
+        "shares off by more than rounding": j.agg(F.count_if(off)),
+    })
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return p9_quality(spark, sf).select("doc_id", "n_words", r6("mean_word_length"), r6("ended_line_share"), r6("common_word_share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
     "p1_split_shares": p1_split_shares,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p3_candidates": p3_candidates,
     "p4_percentiles": p4_percentiles,
     "p4_percentiles_of_days": p4_percentiles_of_days,
     "p4_percentiles_bounded": p4_percentiles_bounded,
@@ -204,10 +293,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_large_budgets": p8_large_budgets,
     "p9_found": p9_found,
     "p9_quality": p9_quality,
+    **{f.__name__: f for f in (p1_document_split, p1_document_groups, p1_checks, p4_checks, p7_characters, p8_checks, p9_statistics)},
 }
 
 _CONFIGURATION = r"""array_to_string(list_transform(string_split(spec_signature, '|'), lambda x: CASE WHEN try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) IS NULL OR isnan(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE)) THEN '?' ELSE CAST(try_cast(replace(replace(x, ',', ''), ' ', '') AS DOUBLE) AS VARCHAR) END), '|')"""
 _INSTANT = r"""try_strptime(regexp_replace(upper(trim(created_at)), '(\+00:00|\.000Z|Z)$', ''), ['%Y %m %dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%H:%M:%S %Y.%m.%d', '%d/%m/%Y %H:%M:%S', '%Y%m%dT%H%M%S'])"""
+_NAME = r"regexp_replace(lower(regexp_replace({}, '\s*@.*$', '')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')"
+
+
+def _none(*checks: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS check_name, 0 AS violations" for c in checks)
+
+
 _PERCENTILES = """WITH l AS (SELECT 'city_grouped' AS dimension, city_grouped AS grp, price_corrected AS v FROM listings
  UNION ALL SELECT 'brand', brand, price_corrected FROM listings),
 r AS (SELECT dimension, grp, v, row_number() OVER (PARTITION BY dimension, grp ORDER BY v) AS k, count(*) OVER (PARTITION BY dimension, grp) AS n FROM l WHERE v IS NOT NULL AND NOT isnan(v)),
@@ -225,6 +322,11 @@ _RECORD = ", ".join(
 ORACLE: dict[str, str] = {
     "p1_found": f"""WITH l AS (SELECT listing_id, {_CONFIGURATION} AS c, {_INSTANT} AS posted FROM listings WHERE spec_signature IS NOT NULL)
 SELECT DISTINCT listing_id FROM l WHERE posted >= TIMESTAMP '2025-01-01' AND c IN (SELECT c FROM l WHERE posted < TIMESTAMP '2025-01-01')""",
+    "p3_candidates": rf"""WITH n AS (SELECT DISTINCT name, string_split(trim({_NAME.format("name")}), ' ') AS w FROM cpus WHERE name IS NOT NULL),
+paths AS (SELECT name, array_to_string(w[i:], '') AS path FROM (SELECT name, w, unnest(range(1, len(w) + 1)) AS i FROM n)),
+q AS (SELECT DISTINCT canonical_cpu_name, replace({_NAME.format("canonical_cpu_name")}, ' ', '') AS g FROM cpu_corrections WHERE canonical_cpu_name IS NOT NULL),
+d AS (SELECT canonical_cpu_name, name, min(levenshtein(g, path)) AS distance FROM q, paths WHERE g <> '' AND abs(len(g) - len(path)) <= 2 GROUP BY 1, 2, g)
+SELECT canonical_cpu_name, name, CAST(distance AS INTEGER) AS distance FROM d WHERE distance <= CASE WHEN len(replace({_NAME.format("canonical_cpu_name")}, ' ', '')) <= 3 THEN 0 WHEN len(replace({_NAME.format("canonical_cpu_name")}, ' ', '')) <= 5 THEN 1 ELSE 2 END""",
     "p4_percentiles": _PERCENTILES,
     "p4_percentiles_of_days": _PERCENTILES,
     "p6_found": f"""WITH r AS (SELECT DISTINCT listing_id, md5(concat_ws('|', {_RECORD})) AS k FROM listings),
@@ -232,4 +334,15 @@ g AS (SELECT k, min(listing_id) AS first_id FROM r GROUP BY k HAVING count(*) >
 SELECT first_id, listing_id AS copy_id FROM r JOIN g USING (k) WHERE listing_id > first_id""",
     "p6_records": f"""WITH r AS (SELECT DISTINCT listing_id, md5(concat_ws('|', {_RECORD})) AS k FROM listings)
 SELECT min(listing_id) AS listing_id, count(*) AS n_copies FROM r GROUP BY k""",
+    "p1_checks": _none("configurations in two splits", "listings without a split", "shares off by more than 0.02"),
+    "p1_document_groups": """WITH RECURSIVE e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM (SELECT doc_id, 'a' || author_id AS k FROM documents WHERE author_id IS NOT NULL UNION ALL SELECT doc_id, 'l' || listing_id FROM documents WHERE listing_id IS NOT NULL) a JOIN (SELECT min(doc_id) AS doc_id, k FROM (SELECT doc_id, 'a' || author_id AS k FROM documents WHERE author_id IS NOT NULL UNION ALL SELECT doc_id, 'l' || listing_id FROM documents WHERE listing_id IS NOT NULL) GROUP BY k) b USING (k)),
+s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s.y, r.m FROM r JOIN s ON s.x = r.doc_id AND r.m < s.y)
+SELECT doc_id, min(m) AS first_id FROM r GROUP BY 1""",
+    "p4_checks": _none("percentiles off by more than 0.5 %"),
+    "p7_characters": "SELECT pack_name, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters, CAST(sum(greatest(ceil(n_chars / capacity_tokens), 1)) AS BIGINT) AS pieces, 0 AS overfull FROM documents, pack_sizes GROUP BY 1",
+    "p8_checks": _none("documents drawn too often", "documents drawn twice", "untargeted documents", "shares off by more than rounding"),
+    "p9_statistics": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}]+$', '')), lambda x: x <> '') AS lines FROM documents),
+c AS (SELECT list(DISTINCT word) AS common FROM common_words)
+SELECT doc_id, coalesce(len(words), 0) AS n_words, round(list_sum(list_transform(words, lambda x: len(x))) / nullif(len(words), 0), 6) AS mean_word_length,
+ round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?؟…;:]$'))) / nullif(len(lines), 0), 6) AS ended_line_share, round(len(list_filter(words, lambda x: list_contains(common, x))) / nullif(len(words), 0), 6) AS common_word_share FROM w, c""",
 }

@@ -144,6 +144,16 @@ def test_entered_names_override_and_edges(spark):
     assert {r.canonical_name for r in cl.map_values(df, [], cl.CPU, "q").collect()} == {cl.UNMATCHED}
 
 
+def test_a_list_in_several_tries_gives_the_same(spark):
+    typed = ["corvane ion 9 l1715g4", "7190g7", "2 1243u5 kaappa", "ion 9 11715", "kappa 2 12435", "ion 9 11715q", "corvane", "atomix j 6490u", None]
+    df = spark.createDataFrame([(t,) for t in typed], "q string")
+    one, many = (sorted((r.q or "", r.canonical_name) for r in cl.map_values(df, NAMES, cl.CPU, "q", entries_a_trie=n).collect()) for n in (50_000, 1))
+    assert one == many and dict(one)["ion 9 11715"] == cl.UNMATCHED and dict(one)["7190g7"] == NAMES[2]
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    a, b = (sorted(map(tuple, cl.candidates(df, names, cl.CPU, "q", n).collect())) for n in (50_000, 2))
+    assert a == b and ("7190g7", NAMES[2], 0) in a
+
+
 # -- 4: percentiles ----------------------------------------------------------------------------------
 
 
