@@ -136,11 +136,14 @@ def text_classes(values: DataFrame, ws: Workspace) -> DataFrame:
     meet in one place to be told apart. A NULL value has no class.
     """
     t, g = word_key(F.col("value")), glued(F.col("value"))
-    keyed = ws.stage(values.where("value IS NOT NULL").select("field", "value", t.alias("t"), g.alias("g")), "keys")
-    letters = F.array_join(F.sort_array(F.split("g", "")), "")
-    spread = ws.stage(keyed.select("field", "t", "g", letters.alias("letters")).distinct(), "letters")
-    tied = spread.groupBy("field", "letters").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("field", "letters")
-    together = spread.join(tied, ["field", "letters"], "left_semi").repartition("field", "letters").sortWithinPartitions("field", "letters")
+    keyed = values.where("value IS NOT NULL").select("field", "value", t.alias("t"), g.alias("g"))
+    sorted_letters = F.array_join(F.sort_array(F.split("g", "")), "")
+    keyed = ws.stage(keyed.withColumn("h", F.xxhash64(sorted_letters)), "keys")
+    # hashes find what may be tied (never too little); whole letters and keys decide in the next step
+    key = F.xxhash64("t")
+    tied = keyed.groupBy("field", "h").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high").select("field", "h")
+    tied = small(ws.stage(tied, "tied"))
+    suspects = keyed.join(tied, ["field", "h"], "left_semi").select("field", "t", "g", sorted_letters.alias("letters")).distinct()
+    together = suspects.repartition("field", "letters").sortWithinPartitions("field", "letters")
     names = ws.stage(together.mapInPandas(_name_classes, "field int, t string, label string"), "names")
-    ws.drop(spread)
     return keyed.join(small(names, "t", "label"), ["field", "t"], "left").select("field", "value", F.coalesce("label", "t").alias("label"))
