@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souqframe.functions.dates import instant
-from souqframe.operators.text_classes import BROADCAST_BYTES, BROADCAST_ENTRIES, text_classes
+from souqframe.operators.text_classes import BROADCAST_BYTES, BROADCAST_ENTRIES, small, text_classes
 from souqframe.session import Workspace
 
 #: Batches a partition gathers before it passes its distinct values on.
@@ -82,11 +82,16 @@ def text_dictionary(values: DataFrame, ws: Workspace, exact: tuple[int, ...] = (
     return ranked.join(F.broadcast(starts), ["field", "slice"]).select("field", "value", (F.col("before") + F.col("rank")).alias("id"))
 
 
+def _whole(c: Column) -> Column:
+    """Whether a double is a whole number that a BIGINT holds exactly; false for NULL and NaN."""
+    return F.coalesce((F.abs(c) < F.lit(float(1 << 52))) & (c == F.floor(c)), F.lit(False))
+
+
 def _own_integer(c: Column, kind: T.DataType) -> Column | None:
-    """The BIGINT a value is already, None if it needs a dictionary. A double's 64 bits go through a 64-bit mix that is one to
-    one, so different numbers stay different."""
+    """The BIGINT a value is already, None if it needs a dictionary. Whole doubles are that number; the 64 bits of others go
+    through a 64-bit mix that is one to one, so different numbers stay different (a digit of the tuple tells the two apart)."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.xxhash64(F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")))
+        return F.when(_whole(c), c.try_cast("bigint")).otherwise(F.xxhash64(F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(kind, T.TimestampNTZType):
@@ -117,13 +122,18 @@ def encode(df: DataFrame, id_column: str, exclude: tuple[str, ...] = (), instant
     fields = [f for f in df.schema.fields if f.name not in skip]
     # positional names keep clashing or odd column names out of every expression below
     plain = df.select(F.col(f"`{id_column}`").alias("record_id"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)])
-    texts, exact, numbers = [], [], []
+    texts, exact, numbers, digits = [], [], [], []
     for i, f in enumerate(fields):
         c = F.col(f"c{i}")
         if isinstance(f.dataType, T.StringType):
             texts.append(i)
         elif (own := _own_integer(c, f.dataType)) is not None:
             numbers.append(f"c{i}")
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                plain = plain.withColumn(f"d{i}", F.when(c.isNull(), 2).when(_whole(c), 0).otherwise(1).cast("bigint"))
+                digits.append((F.col(f"d{i}"), 3))
+            else:
+                digits.append((c.isNull().cast("bigint"), 2))
             plain = plain.withColumn(f"c{i}", own if f.nullable is False else F.when(c.isNotNull(), own))
         else:
             texts.append(i)
@@ -135,9 +145,9 @@ def encode(df: DataFrame, id_column: str, exclude: tuple[str, ...] = (), instant
         plain = plain.withColumn(f"t{i}", F.unix_micros(instant(F.col(f"c{i}"))))
         plain = plain.withColumn(f"c{i}", F.when(F.col(f"t{i}").isNull(), F.col(f"c{i}")))
         numbers.append(f"t{i}")
-    # numbers are words of their own; which of them are NULL are digits like any other
+        digits.append((F.col(f"t{i}").isNull().cast("bigint"), 2))
+    # numbers are words of their own; which of them are NULL (or no whole numbers) are digits like any other
     whole = [F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in numbers]
-    digits = [(F.col(c).isNull().cast("bigint"), 2) for c in numbers]
     large: list[tuple[int, int, DataFrame]] = []
     if texts:
         words = ws.stage(text_dictionary(distinct_values(plain.select(*[f"c{i}" for i in texts])), ws, tuple(exact)), "dictionary")
@@ -167,7 +177,7 @@ def _words(tuples: DataFrame) -> list[str]:
 def _suspects(tuples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digests with one id (``digest, first_id``), and the records of the others."""
     per = tuples.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
-    several = per.where("first_id < last_id").select("digest")
+    several = small(Workspace(tuples.sparkSession).stage(per.where("first_id < last_id").select("digest"), "suspects"))
     return per.where("first_id = last_id").select("digest", "first_id"), tuples.join(several, "digest", "left_semi")
 
 
