@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from souqframe.functions.dates import instant
 from souqframe.llm import canonical_list, formatting_duplicates, groups_split, mixing, packing, percentiles, text_quality, tokens
 from souqframe.llm.signatures import configuration
+from souqframe.operators.text_classes import small
 from souqframe.session import Workspace, read_table, spread_out
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -23,15 +24,16 @@ def _signature_keys() -> list:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Listings from 2025 on whose configuration was already listed before."""
-    ads = read_table(spark, sf, "listings").where("spec_signature IS NOT NULL")
-    member = groups_split.components(ads, "listing_id", _signature_keys()).distinct()
-    dated = ads.select("listing_id", instant(F.col("created_at")).alias("at")).where("at IS NOT NULL").distinct()
+    """Listings from 2025 on whose configuration was already listed before. Every spelling of a signature is read and linked once;
+    its listings then take its component."""
+    ads = read_table(spark, sf, "listings").where("spec_signature IS NOT NULL").select("listing_id", "spec_signature", instant(F.col("created_at")).alias("at")).where("at IS NOT NULL")
     ws = Workspace(spark)
-    when = ws.stage(member.join(dated, F.col("record_id") == F.col("listing_id")).select("listing_id", "component", "at"), "dated")
+    spellings = ws.stage(ads.select("spec_signature").distinct(), "spellings")
+    member = ws.stage(groups_split.components(spellings, "spec_signature", _signature_keys()).select(F.col("record_id").alias("spec_signature"), "component"), "members")
+    when = ws.stage(ads.join(small(member, "spec_signature"), "spec_signature").select("listing_id", "component", "at"), "dated")
     late = F.lit(LATE).cast("timestamp")
-    old = when.where(F.col("at") < late).select("component").distinct()
-    return when.where(F.col("at") >= late).join(old, "component", "left_semi").select("listing_id").distinct()
+    old = ws.stage(when.where(F.col("at") < late).select("component").distinct(), "old")
+    return when.where(F.col("at") >= late).join(small(old), "component", "left_semi").select("listing_id").distinct()
 
 
 def p1_split(spark: SparkSession, sf: str) -> DataFrame:
