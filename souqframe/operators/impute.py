@@ -10,7 +10,8 @@ distance is divided by the number of features seen). A missing cell is filled fr
     cluster        same cluster
     all            all records
 
-with the median of a numeric and the mode of a categorical target (lower median; ties take the smallest value).
+with the median of a numeric and the mode of a categorical target (lower median; ties take the smallest value). The part of
+a group or parent in one cluster is asked only if it has ``least`` values.
 Every cell that was filled carries the name of its step.
 
 Medians and modes come from counts of distinct values per set, combined before they shuffle, so a set may hold
@@ -183,7 +184,7 @@ def _pick(counts: DataFrame, by: list[str], numeric: bool, name: str) -> DataFra
     return per.groupBy(*by).agg(top) if by else per.agg(top)
 
 
-def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]], group: Column, parent: Column, numbers: dict[str, Column], cats: dict[str, Column], k: int = 12, passes: int = 5, gamma: float = 0.6, seed: int = 17) -> DataFrame:
+def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]], group: Column, parent: Column, numbers: dict[str, Column], cats: dict[str, Column], k: int = 12, passes: int = 5, gamma: float = 0.6, seed: int = 17, least: int = 8) -> DataFrame:
     """``id, field_name, value, filled, method`` for every record and target.
 
     ``targets``: field -> (observed value or NULL, numeric?). ``value`` is text; for missing cells it is the
@@ -215,6 +216,8 @@ def fill(df: DataFrame, id_column: str, targets: dict[str, tuple[Column, bool]],
             have = counts
             for b in by:
                 have = have.where(F.col(b).isNotNull())
+            if "cluster" in by and len(by) > 1:  # a few values of a cluster say less than all of its group
+                have = have.join(have.groupBy(*by).agg(F.sum("n").alias("_all")).where(F.col("_all") >= least).drop("_all"), by, "left_semi")
             filled = filled.join(_pick(have, by, numeric, f"v_{step}"), by, "left")
         method = F.coalesce(*[F.when(F.col(f"v_{s}").isNotNull(), F.lit(s)) for s in STEPS])
         value = F.coalesce(*[F.col(f"v_{s}") for s in STEPS]).cast("string")

@@ -22,21 +22,54 @@ def with_model_class(ads: DataFrame, column: str, out: str) -> DataFrame:
     return ads.join(small(names, column, out), column, "left")
 
 
-def _filled(spark: SparkSession, sf: str) -> DataFrame:
+def _filled(spark: SparkSession, sf: str, hide: bool = False, **how) -> DataFrame:
+    """Both fields of every listing; with ``hide`` a tenth of the known cells is first taken away."""
     ads = read_table(spark, sf, "listings").select("listing_id", "model_name", "brand", "SCREEN_SIZE_SNAPPED", "RAM_TYPE", "SCREEN_RESOLUTION_STD", "cpu_mark", "tdp", "gpu_g3d_mark", "price_corrected", "created_at")
     ads = with_model_class(ads, "model_name", "model_class")
     screen, memory = real_screen(F.col("SCREEN_SIZE_SNAPPED")), memory_type(F.col("RAM_TYPE"))
+    if hide:
+        screen, memory = F.when(~_hidden("SCREEN_SIZE_SNAPPED"), screen), F.when(~_hidden("RAM_TYPE"), memory)
     price = finite(F.col("price_corrected"))
+    # what is to be filled takes no part: a record without it could only be put wrong by it
     numbers = {
-        "screen": screen,
         "cpu_mark": number(F.col("cpu_mark")),
         "tdp": finite(F.col("tdp")),
         "log_price": F.when(price > 0, F.log10(price)),
         "year": F.year(instant(F.col("created_at"))),
     }
-    cats = {"memory": memory, "resolution": F.col("SCREEN_RESOLUTION_STD"), "brand": F.col("brand")}
+    cats = {"resolution": F.col("SCREEN_RESOLUTION_STD"), "brand": F.col("brand")}
     targets = {"SCREEN_SIZE_SNAPPED": (screen, True), "RAM_TYPE": (memory, False)}
-    return impute.fill(ads, "listing_id", targets, F.col("model_class"), F.col("brand"), numbers, cats)
+    return impute.fill(ads, "listing_id", targets, F.col("model_class"), F.col("brand"), numbers, cats, **how)
+
+
+def _hidden(field: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(field), F.col("listing_id")), F.lit(10)) == 0
+
+
+def p2_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Known cells hidden, filled again and compared, per field and step: share right, and the share right if one
+    cluster held all listings (the plain median or mode of the model, then of the brand)."""
+    ws = Workspace(spark)
+    ads = read_table(spark, sf, "listings")
+    known = lambda f, c: ads.where(_hidden(f) & c.isNotNull()).select("listing_id", F.lit(f).alias("field_name"), c.cast("string").alias("truth"))
+    truth = known("SCREEN_SIZE_SNAPPED", real_screen(F.col("SCREEN_SIZE_SNAPPED"))).unionByName(known("RAM_TYPE", memory_type(F.col("RAM_TYPE")))).distinct()
+    got = ws.stage(_filled(spark, sf, True).where("filled").select("listing_id", "field_name", "value", "method").distinct(), "filled")
+    plain = ws.stage(_filled(spark, sf, True, k=1, passes=0).where("filled").select("listing_id", "field_name", F.col("value").alias("plain")).distinct(), "plain")
+    j = truth.join(got, ["listing_id", "field_name"]).join(plain, ["listing_id", "field_name"])
+    share = lambda c: F.round(F.avg((F.col(c) == F.col("truth")).cast("int")), 4)
+    return j.groupBy("field_name", "method").agg(F.count("*").alias("cells"), share("value").alias("right"), share("plain").alias("plain_right"))
+
+
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted over all cells: rows per field, real values changed, cells left without a value, cells not marked."""
+    f = Workspace(spark).stage(_filled(spark, sf), "filled")
+    ads = read_table(spark, sf, "listings")
+    real = F.when(F.col("field_name") == "RAM_TYPE", F.col("memory")).otherwise(F.col("screen"))
+    own = ads.select("listing_id", real_screen(F.col("SCREEN_SIZE_SNAPPED")).cast("string").alias("screen"), memory_type(F.col("RAM_TYPE")).alias("memory")).distinct()
+    j = f.join(own, "listing_id").withColumn("real", real)
+    per = f.groupBy("field_name").agg(F.count("*").alias("cells"))
+    bad = j.groupBy("field_name").agg(F.count_if(~F.col("filled") & ~F.col("value").eqNullSafe(F.col("real"))).alias("changed"), F.count_if(F.col("value").isNull()).alias("empty"), F.count_if(F.col("filled") & F.col("method").isNull()).alias("unmarked"))
+    return per.join(bad, "field_name")
 
 
 def p2_filled(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,6 +214,7 @@ ORACLE = {
 h AS (SELECT m, max(s) AS hs, max(r) AS hr FROM l GROUP BY m)
 SELECT DISTINCT listing_id, 'SCREEN_SIZE_SNAPPED' AS field_name FROM l JOIN h USING (m) WHERE s = 0 AND hs = 1 AND m <> ''
 UNION ALL SELECT DISTINCT listing_id, 'RAM_TYPE' AS field_name FROM l JOIN h USING (m) WHERE r = 0 AND hr = 1 AND m <> ''""",
+    "p2_checks": "SELECT unnest(['SCREEN_SIZE_SNAPPED', 'RAM_TYPE']) AS field_name, count(*) AS cells, 0 AS changed, 0 AS empty, 0 AS unmarked FROM listings",
     "p5_found": r"""WITH g AS (SELECT *, try_cast(replace(regexp_extract(lower(RAM_SIZE), '^(?:ram )?([0-9]+(?:,[0-9])?) ?(g|gb|go|gigas|جيغا)?$', 1), ',', '.') AS DOUBLE) AS rg,
  try_cast(replace(regexp_extract(lower(SSD_SIZE), '^(?:ssd )?([0-9]+(?:,[0-9])?) ?(g|gb|go|gigas|giga|جيغا)?$', 1), ',', '.') AS DOUBLE) AS sg FROM listings),
 l AS (SELECT *, coalesce(rg BETWEEN 120 AND 4096 AND sg BETWEEN 2 AND 128, false) AS swapped FROM g)
@@ -195,4 +229,4 @@ l AS (SELECT *, coalesce(rg BETWEEN 120 AND 4096 AND sg BETWEEN 2 AND 128, false
   AND (replace(CAST(CAST(price_corrected AS BIGINT) AS VARCHAR), CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)[1], '') = '' OR starts_with('123456789', CAST(CAST(price_corrected AS BIGINT) AS VARCHAR)))) END""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_filled, p5_found, p5_common, p5_segments, p5_foreign_stretches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_filled, p2_accuracy, p2_checks, p5_found, p5_common, p5_segments, p5_foreign_stretches)}
