@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, groupby, pairwise, permutations
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations, groupby, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,17 +33,40 @@ def _arrangements(t: str, written: list[str]) -> set[str]:
     return {*written, *("".join(p) for p in permutations(words))} if len(words) <= LISTED_WORDS else set(written)
 
 
-def _joints_fit(x: Counter[str], y: Counter[str]) -> bool:
+@dataclass(frozen=True)
+class _Shape:
+    """The words of a key, how often letters stand together within them, and what the words end and start with."""
+
+    words: Counter[str]
+    within: dict[str, int]
+    ends: dict[str, int]
+    starts: dict[str, int]
+
+
+@lru_cache(maxsize=1024)
+def _shape(t: str) -> _Shape:
+    words = t.split(" ")
+    within: dict[str, int] = {}
+    ends: dict[str, int] = {}
+    starts: dict[str, int] = {}
+    for w in words:
+        for k in range(len(w) - 1):
+            within[w[k : k + 2]] = within.get(w[k : k + 2], 0) + 1
+        ends[w[-1:]] = ends.get(w[-1:], 0) + 1
+        starts[w[:1]] = starts.get(w[:1], 0) + 1
+    return _Shape(Counter(words), within, ends, starts)
+
+
+def _joints_fit(x: _Shape, y: _Shape) -> bool:
     """False if letters that stand together within words of ``x`` cannot all meet within or between words of ``y``."""
-    within = lambda words: sum((Counter({p: n * k for p, k in Counter(pairwise(w)).items()}) for w, n in words.items()), Counter())
-    first, last, ends, starts = Counter(), Counter(), Counter(), Counter()
-    for (p, q), n in (within(x) - within(y)).items():
-        first[p] += n
-        last[q] += n
-    for w, n in y.items():
-        ends[w[-1]] += n
-        starts[w[0]] += n
-    return not (first - ends or last - starts)
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for pair, n in x.within.items():
+        more = n - y.within.get(pair, 0)
+        if more > 0:
+            first[pair[0]] = first.get(pair[0], 0) + more
+            last[pair[1]] = last.get(pair[1], 0) + more
+    return all(n <= y.ends.get(c, 0) for c, n in first.items()) and all(n <= y.starts.get(c, 0) for c, n in last.items())
 
 
 def _spell_alike(x: Counter[str], y: Counter[str]) -> bool:
@@ -81,9 +106,10 @@ def arrangeable(s: str, t: str) -> bool:
     """Whether the words of ``s`` and those of ``t``, each in some order, give the same text without white space.
 
     Exact for any number of words: what both have in common is tried as such first, then all words are searched."""
-    x, y = Counter(s.split(" ")), Counter(t.split(" "))
-    if not s or not t or not _joints_fit(x, y) or not _joints_fit(y, x):
+    a, b = _shape(s), _shape(t)
+    if not s or not t or not _joints_fit(a, b) or not _joints_fit(b, a):
         return s == t
+    x, y = a.words, b.words
     return _spell_alike(x - y, y - x) or _spell_alike(x, y)
 
 

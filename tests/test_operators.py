@@ -85,7 +85,7 @@ def _fill(spark, rows, **kw):
 def test_fill_uses_the_narrowest_set(spark):
     rows = [(i, "m1", "b1", 15.6, "D4", 100.0, None) for i in range(5)] + [(i, "m2", "b1", 14.0, "D5", 900.0, None) for i in range(5, 9)]
     rows += [(20, "m1", "b1", None, None, 100.0, "x"), (21, "m3", "b1", None, "D5", 900.0, None), (22, None, None, None, None, None, None), (23, "m2", "b1", None, "D5", None, None)]
-    got = _fill(spark, rows, k=2)
+    got = _fill(spark, rows, k=2, least=1)
     assert got[(20, "size")] == ("15.6", "group_cluster") and got[(20, "kind")] == ("D4", "group_cluster")
     assert got[(21, "size")][0] == "14.0" and got[(21, "size")][1] == "parent_cluster"
     assert got[(22, "size")][1] == "all"
