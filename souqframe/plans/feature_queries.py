@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from souqframe import constants as K
 from souqframe.functions import specs as S
 from souqframe.functions.listing import memory_type
+from souqframe.ml import selection
 from souqframe.operators import contracts
 from souqframe.operators.ranking import hash_order, hash_ranks
 from souqframe.operators.running import running_sum
@@ -315,9 +316,48 @@ def shared_values(spark, sf):
     return a.select("CPU", "mapped_cpu_name", F.array_join(F.array_sort(F.array_intersect(words("CPU"), words("mapped_cpu_name"))), " ").alias("shared"))
 
 
+# -- model choice -----------------------------------------------------------------------------------------
+
+
+def time_folds(spark, sf):
+    """Expanding windows: each year is tested on all earlier ones."""
+    a = ads(spark, sf).where("price IS NOT NULL AND posted IS NOT NULL").select("listing_id", "price", F.year("posted").alias("y")).distinct()
+    per = a.groupBy("y").agg(F.count("*").alias("n"))
+    years = F.broadcast(per.select(F.col("y").alias("test_year")))  # a row a year
+    return per.join(years, F.col("y") <= F.col("test_year")).groupBy("test_year").agg(F.coalesce(F.sum(F.when(F.col("y") < F.col("test_year"), F.col("n"))), F.lit(0)).alias("train"), F.sum(F.when(F.col("y") == F.col("test_year"), F.col("n"))).alias("test")).where("train > 0")
+
+
+_CHOICE = ["cpu_mark", "gpu_mark", "ram_gb", "ssd_gb", "screen", "resolution_rank"]
+
+
+def _choice_rows(spark, sf):
+    f = features(ads(spark, sf).where("price IS NOT NULL")).select("listing_id", "log_price", *_CHOICE).na.fill(0.0).distinct()
+    return Workspace(spark).stage(f.withColumn("part", hash_order(F.col("listing_id"), F.lit(42)) % 5), "rows")
+
+
+def model_grid(spark, sf):
+    """A grid of linear models on log price, cross-validated, with the best marked."""
+    return spark.createDataFrame(selection.grid_search(_choice_rows(spark, sf), _CHOICE, "log_price", [0.001, 0.1], [0.0, 1.0]), "penalty double, mix double, rmse double, best boolean")
+
+
+def dropped_features(spark, sf):
+    """Backward selection from six features to three."""
+    return spark.createDataFrame(selection.backward_selection(_choice_rows(spark, sf), _CHOICE, "log_price", 3), "step int, dropped string, r2 double")
+
+
+def balanced_clusters(spark, sf):
+    """The number of clusters by silhouette and balance."""
+    return spark.createDataFrame(selection.balanced_k(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", [4, 8, 12]), "k int, silhouette double, imbalance double, score double, best boolean")
+
+
+def cluster_stability(spark, sf):
+    """Agreement of clusterings of random parts with that of all vectors."""
+    return spark.createDataFrame(selection.stability(read_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 8), "run int, agreement double")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (feature_matrix, request_features, clamped_share, first_numbers, price_ratio_scale, part_names, generic_processors, common_processor, plain_cards, card_cascade, model_fill_only, screen_fill_by_processor, mean_by_rank, model_tiers, aligned_columns, column_kinds, other_brands, deals_below, first_complete, random_split, row_order_split, hand_labels, request_errors, segment_gain, half_band, oddity_checks, service_catalog, memory_classes, shared_values)
+    for f in (feature_matrix, request_features, clamped_share, first_numbers, price_ratio_scale, part_names, generic_processors, common_processor, plain_cards, card_cascade, model_fill_only, screen_fill_by_processor, mean_by_rank, model_tiers, aligned_columns, column_kinds, other_brands, deals_below, first_complete, random_split, row_order_split, hand_labels, request_errors, segment_gain, half_band, oddity_checks, service_catalog, memory_classes, shared_values, time_folds, model_grid, dropped_features, balanced_clusters, cluster_stability)
 }
 _HASH = "CAST(('0x' || substr(md5(concat_ws('|', listing_id, {})), 1, 15)) AS BIGINT)"
 _FIRST = r"round(try_cast(nullif(regexp_extract({c}, '(\d+(?:\.\d+)?)', 1), '') AS DOUBLE) * CASE WHEN contains(upper({c}), 'TB') THEN 1024 ELSE 1 END, 4) AS {o}"
@@ -355,4 +395,5 @@ ORACLE = {
     "service_catalog": " UNION ALL ".join([f"SELECT 'rows' AS kind, '{t}' AS name, count(*) AS n FROM {t}" for t in ("listings", "cpus", "gpus")] + [f"SELECT 'values', '{c}', count(DISTINCT {c}) FROM listings" for c in ("brand", "city_grouped", "spec_Etat")]),
     "memory_classes": f"SELECT coalesce({_MEMORY}, 'UNKNOWN') AS memory, count(*) AS n FROM listings GROUP BY 1",
     "shared_values": "SELECT DISTINCT CPU, mapped_cpu_name, array_to_string(list_sort(list_intersect(regexp_extract_all(lower(CPU), '[a-z0-9]+'), regexp_extract_all(lower(mapped_cpu_name), '[a-z0-9]+'))), ' ') AS shared FROM listings WHERE CPU IS NOT NULL AND mapped_cpu_name IS NOT NULL",
+    "time_folds": _A + ", d AS (SELECT DISTINCT listing_id, price, CAST(year(posted) AS INT) AS y FROM a WHERE price IS NOT NULL AND posted IS NOT NULL), p AS (SELECT y, count(*) AS n FROM d GROUP BY 1) SELECT y AS test_year, CAST(sum(n) OVER (ORDER BY y) - n AS BIGINT) AS train, n AS test FROM p QUALIFY train > 0",
 }
