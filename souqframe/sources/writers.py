@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,30 +43,51 @@ def new_version() -> str:
     return time.strftime("v%Y%m%dT%H%M%S", time.gmtime())
 
 
+def _file(path: str):
+    """The file system of a path, shared or local, and the path in it."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(path: str, text: str) -> None:
+    fs, p = _file(path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_text(path: str) -> str | None:
+    """The whole text of a small file, None if there is none."""
+    fs, p = _file(path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def save_model(model, metadata: dict, root: str, version: str | None = None) -> str:
     """A model, its metadata and a card under a new version; ``latest`` then names it."""
     version = version or new_version()
-    folder = os.path.join(root, version)
-    model.write().overwrite().save(os.path.join(folder, "model"))
-    with open(os.path.join(folder, "metadata.json"), "w", encoding="utf-8") as f:
-        json.dump(metadata, f, ensure_ascii=False, indent=1, default=str)
-    with open(os.path.join(folder, "card.md"), "w", encoding="utf-8") as f:
-        f.write(f"# Model {version}\n\n" + "".join(f"- {k}: {v}\n" for k, v in metadata.items()))
-    with open(os.path.join(root, "latest"), "w", encoding="utf-8") as f:
-        f.write(version)
+    folder = f"{root}/{version}"
+    model.write().overwrite().save(f"{folder}/model")
+    write_text(f"{folder}/metadata.json", json.dumps(metadata, ensure_ascii=False, indent=1, default=str))
+    write_text(f"{folder}/card.md", f"# Model {version}\n\n" + "".join(f"- {k}: {v}\n" for k, v in metadata.items()))
+    write_text(f"{root}/latest", version)
     return version
 
 
 def latest_version(root: str) -> str | None:
     """What ``latest`` names, else the newest version folder."""
-    pointer = os.path.join(root, "latest")
-    if os.path.exists(pointer):
-        with open(pointer, encoding="utf-8") as f:
-            named = f.read().strip()
-        if os.path.isdir(os.path.join(root, named)):
-            return named
-    found = sorted(d for d in os.listdir(root) if d.startswith("v") and os.path.isdir(os.path.join(root, d))) if os.path.isdir(root) else []
-    return found[-1] if found else None
+    fs, p = _file(root)
+    if not fs.exists(p):
+        return None
+    folders = {s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()}
+    named = (read_text(f"{root}/latest") or "").strip()
+    return named if named in folders else max((f for f in folders if f.startswith("v")), default=None)
 
 
 def markdown_table(rows: list[dict]) -> str:

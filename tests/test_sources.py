@@ -15,7 +15,7 @@ def test_settings_merge(tmp_path, monkeypatch):
     assert readers.load_settings(base)["b"] == 9
 
 
-def test_versions(tmp_path):
+def test_versions(spark, tmp_path):
     assert writers.latest_version(str(tmp_path / "none")) is None
     for v in ("v1", "v2"):
         (tmp_path / v).mkdir()
