@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from souqframe.session import Workspace
+
 
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit by bit."""
@@ -46,10 +48,28 @@ def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def best_match(texts: DataFrame, text: str, reference: DataFrame, name: str, threshold: float) -> DataFrame:
-    """The best reference entry of each distinct text among those that share a word with it; ties take the first name."""
+    """The best reference entry of each distinct text; ties take the first name.
+
+    Entries that share a word with the text are scored first, by a join on words. Texts that find nothing that way, because
+    every word is misspelt or glued, meet the whole list, block by block."""
+    from souqframe.operators.outliers import block_pairs
+
     words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("_word")
     t = texts.select(F.col(text).alias("_t")).where("_t <> ''").distinct()
-    pairs = t.select("_t", words(F.col("_t"))).join(reference.select(F.col(name).alias("_r"), words(F.col(name))), "_word").select("_t", "_r").distinct()
+    r = reference.select(F.col(name).alias("_r")).where("_r IS NOT NULL").distinct()
+    pairs = t.select("_t", words(F.col("_t"))).join(r.select("_r", words(F.col("_r"))), "_word").select("_t", "_r").distinct()
     scored = pairs.withColumn("score", token_set_score("_t", "_r")).where(F.col("score") >= threshold)
-    best = scored.groupBy("_t").agg(F.max("score").alias("score")).join(scored, ["_t", "score"]).groupBy("_t").agg(F.min("_r").alias("matched"), F.first("score").alias("score"))
-    return t.join(best, "_t", "left").withColumnRenamed("_t", text)
+    best = scored.groupBy("_t").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_r").alias("r"))).alias("b"))
+    best = Workspace(texts.sparkSession).stage(best, "shared-words")
+
+    def whole(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x in a["id"] if len(b) else ():
+            s, y = min((-token_set_ratio(x, y), y) for y in b["id"])
+            if -s >= threshold:
+                out.append((x, s, y))
+        return pd.DataFrame(out, columns=["_t", "s", "r"])
+
+    rest = t.join(best, "_t", "left_anti").withColumnRenamed("_t", "id")
+    far = block_pairs(rest, r.withColumnRenamed("_r", "id"), whole, "_t string, s double, r string", 1024).groupBy("_t").agg(F.min(F.struct("s", "r")).alias("b"))
+    return t.join(best.unionByName(far), "_t", "left").select(F.col("_t").alias(text), F.col("b.r").alias("matched"), (-F.col("b.s")).alias("score"))

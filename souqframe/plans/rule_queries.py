@@ -132,6 +132,20 @@ def detector_agreement(spark, sf):
     return one.unpivot([], [f"{x}-{y}" for x, y in pairs], "pair", "jaccard")
 
 
+def listing_detectors(spark, sf):
+    """Per listing which of isolation forest, skew-directed tails and both-sided tails put it in the top 2 %, and how many do.
+
+    Isolation sees odd combinations of measures that no single tail shows."""
+    ws = Workspace(spark)
+    a = ws.stage(ads(spark, sf).groupBy("listing_id").agg(*[F.max(c).alias(c) for c in _DIMS]), "measures")
+    tails = outliers.tail_scores(a, "listing_id", _DIMS).select("listing_id", F.col("auto").alias("directed"), F.col("score").alias("both"))
+    s = ws.stage(outliers.isolation_scores(a, "listing_id", _DIMS, trees=300).withColumnRenamed("score", "isolation").join(tails, "listing_id"), "scores")
+    names = ("isolation", "directed", "both")
+    ends = s.agg(*[F.percentile_approx(n, 0.98, 10_000).alias(f"_{n}") for n in names])
+    flagged = s.crossJoin(F.broadcast(ends)).select("listing_id", *[(F.col(n) > F.col(f"_{n}")).cast("int").alias(n) for n in names])
+    return flagged.withColumn("n_flagged", sum((F.col(n) for n in names), F.lit(0)))
+
+
 def isolation_forest(spark, sf):
     a = ads(spark, sf).select("listing_id", *_DIMS).distinct()
     return outliers.isolation_scores(a, "listing_id", _DIMS, trees=300)
@@ -149,7 +163,7 @@ def gower_nearest(spark, sf):
     return outliers.gower_nearest(a, a.where("listing_id % 20 = 0"), "listing_id", ["price", "cpu_mark"], ["brand", "SCREEN_RESOLUTION_STD"], 5)
 
 
-QUERIES = {f.__name__: f for f in (basket_items, frequent_itemsets, association_rules, spec_consistency, violation_summary, parsed_itemsets, tail_outliers, detector_ensemble, detector_agreement, isolation_forest, local_outliers, gower_nearest, top_rules, one_hot_baskets, experiment_itemsets)}
+QUERIES = {f.__name__: f for f in (basket_items, frequent_itemsets, association_rules, spec_consistency, violation_summary, parsed_itemsets, tail_outliers, detector_ensemble, detector_agreement, isolation_forest, listing_detectors, local_outliers, gower_nearest, top_rules, one_hot_baskets, experiment_itemsets)}
 _TAILS = _A + ", d AS (SELECT DISTINCT listing_id, price, cpu_mark, gpu_g3d_mark, cores FROM a), " + ", ".join(
     f"t{i} AS (SELECT {c} AS v, -ln(sum(count(*)) OVER (ORDER BY {c}) / sum(count(*)) OVER ()) AS l, -ln(sum(count(*)) OVER (ORDER BY {c} DESC) / sum(count(*)) OVER ()) AS r FROM d WHERE {c} IS NOT NULL GROUP BY {c})" for i, c in enumerate(_DIMS)
 ) + ", w AS (SELECT " + ", ".join(f"skewness({c}) AS k{i}" for i, c in enumerate(_DIMS)) + " FROM d)"

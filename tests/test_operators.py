@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from souqframe.functions import fuzzy
 from souqframe.operators import clusters, contracts, impute, outliers, ranking, rules, units
 from souqframe.operators.running import running_sum
 from souqframe.operators.text_classes import arrangeable, text_classes
@@ -228,6 +229,14 @@ def test_gower(spark):
     assert outliers.gower_nearest(df.limit(0), df, "id", ["n"], ["c"], 3).count() == 0
 
 
+def test_fuzzy_match_without_a_shared_word(spark):
+    t = spark.createDataFrame([("alpha beta",), ("alphaa betaa",), ("zzz",), ("",), (None,)], "t string")
+    r = spark.createDataFrame([("alpha beta",), ("gamma",), (None,)], "n string")
+    got = {x.t: x.matched for x in fuzzy.best_match(t, "t", r, "n", 70.0).collect()}
+    assert got == {"alpha beta": "alpha beta", "alphaa betaa": "alpha beta", "zzz": None}
+    assert fuzzy.best_match(t.limit(0), "t", r, "n", 70.0).count() == 0
+
+
 def test_neighbours_and_silhouette_in_blocks(spark):
     rng = np.random.default_rng(7)
     x = np.r_[rng.normal(0, 1, (40, 2)), rng.normal(6, 1, (30, 2))]
