@@ -1,7 +1,9 @@
 """Core operators against brute force, and their edge cases."""
 
 import itertools
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -229,6 +231,57 @@ def test_gower(spark):
     assert outliers.gower_nearest(df.limit(0), df, "id", ["n"], ["c"], 3).count() == 0
 
 
+def _by_hand(rows, queries, widths, k):
+    """Nearest by comparing all with all, rounded as SQL does."""
+    out = {}
+    for i, *x in queries:
+        ranked = []
+        for j, *y in rows:
+            both = [n for n in range(len(x)) if x[n] is not None and y[n] is not None]
+            num = sum((abs(x[n] - y[n]) / widths[n] if n < len(widths) else float(x[n] != y[n])) for n in both if n >= len(widths) or widths[n])
+            v = (num / len(both) if both else 1.0) * 1e6
+            ranked.append(((math.floor(v) + (v - math.floor(v) >= 0.5)) / 1e6, j))
+        out[i] = sorted(r for r in ranked if r[1] != i)[:k]
+    return out
+
+
+def test_gower_equals_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    some = lambda v, p: None if rng.random() < p else v
+    # coarse values tie a lot, fine ones fall on half millionths, categories of one row have their nearest elsewhere
+    table = [(i, some(float(rng.integers(0, 6)) * 100_000 + float(rng.integers(0, 3)), 0.15), some(float(rng.normal() * 50), 0.1), 7.0, some(f"c{min(int(rng.exponential(3)), 40)}", 0.1), some("xyz"[int(rng.integers(0, 3))], 0.1)) for i in range(700)]
+    table += [(700, 0.0, None, None, "c0", None), (701, 1_000_000.0, None, None, "c0", None), (702, None, None, None, None, None), (703, None, None, None, None, None)]
+    df = spark.createDataFrame(table, "id bigint, a double, b double, same double, c string, d string")
+    ends = [[t[n] for t in table if t[n] is not None] for n in (1, 2, 3)]
+    widths = [max(e) - min(e) for e in ends]
+    asked = [t for t in table if t[0] % 3 == 0 or t[0] >= 700]
+    strangers = [(9_000, -5_000_000.0, 0.0, None, "nobody", "x"), (9_001, 300_000.0, None, 7.0, "c1", "nothing")]  # among the queries only
+    q = spark.createDataFrame(asked + strangers, df.schema)
+    want = _by_hand(table, asked + strangers, widths, 5)
+    for block in (4, 512):
+        got = {}
+        for r in outliers.gower_nearest(df, q, "id", ["a", "b", "same"], ["c", "d"], 5, block=block).orderBy("id", "place").collect():
+            got.setdefault(r.id, []).append((r.distance, r.neighbour))
+            assert r.place == len(got[r.id])
+        assert got == want
+
+
+def test_gower_rounds_halves_as_sql(spark):
+    df = spark.createDataFrame([(1, 0.0, "x"), (2, 1.0, "x"), (3, 1_000_000.0, "x")], "id bigint, n double, c string")
+    assert outliers.gower_nearest(df, df.where("id = 1"), "id", ["n"], ["c"], 1).first().distance == 1e-6
+
+
+def test_gower_work_grows_with_the_rows_not_their_square(spark):
+    def seconds(n):
+        df = spark.range(n).select("id", (F.rand(1) * 1e6).alias("a"), F.floor(F.rand(2) * 500).cast("double").alias("b"), F.floor(F.rand(3) * F.rand(4) * 20).cast("string").alias("c"))
+        began = time.perf_counter()
+        outliers.gower_nearest(df, df, "id", ["a", "b"], ["c"], 5).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    small = seconds(4_000)
+    assert seconds(80_000) < 8 * small  # 400 times the pairs
+
+
 def test_fuzzy_match_without_a_shared_word(spark):
     t = spark.createDataFrame([("alpha beta",), ("alphaa betaa",), ("zzz",), ("",), (None,)], "t string")
     r = spark.createDataFrame([("alpha beta",), ("gamma",), (None,)], "n string")
