@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from souqframe.functions import fuzzy
@@ -282,6 +283,30 @@ def test_gower_work_grows_with_the_rows_not_their_square(spark):
     assert seconds(80_000) < 8 * small  # 400 times the pairs
 
 
+def test_gower_queries_that_lack_a_number_search_few_boxes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    table = [(i, float(rng.integers(0, 1_000_000)), float(rng.integers(0, 200)), "xyz"[i % 3]) for i in range(6_000)]
+    table += [(i, float(rng.integers(0, 1_000_000)), None, "xyz"[i % 3]) for i in range(6_000, 6_080)]
+    df = spark.createDataFrame(table, "id bigint, a double, b double, c string")
+    widths = [max(t[n] for t in table if t[n] is not None) - min(t[n] for t in table if t[n] is not None) for n in (1, 2)]
+    kind, passes = type(df), []
+    original = kind.mapInPandas
+
+    def spy(self, f, schema, *more):
+        out = original(self, f, schema, *more)
+        if not schema.startswith("box bigint, own"):
+            return out
+        passes.append(Observation())
+        return out.observe(passes[-1], F.sum(F.size("q")).alias("n"))
+
+    monkeypatch.setattr(kind, "mapInPandas", spy)
+    got = {}
+    for r in outliers.gower_nearest(df, df.where("id >= 6000"), "id", ["a", "b"], ["c"], 5, block=4).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+    assert got == _by_hand(table, table[6_000:], widths, 5)
+    assert [p.get["n"] < 12 * 80 for p in passes] == [True, True]
+
+
 def test_fuzzy_match_without_a_shared_word(spark):
     t = spark.createDataFrame([("alpha beta",), ("alphaa betaa",), ("zzz",), ("",), (None,)], "t string")
     r = spark.createDataFrame([("alpha beta",), ("gamma",), (None,)], "n string")
